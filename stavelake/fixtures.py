@@ -112,8 +112,8 @@ SELECT score_id, page_index, 1300 width, 1100 height, count(*) n_staves
 FROM {f_staff} GROUP BY score_id, page_index""",
     # extra bars found by a second detector, merged in order
     "f_extra_bar": """
-SELECT score_id,page_index,det_id ord,x1+CAST(det_id%5 AS INT)-2 x1,y1+CAST(det_id%41 AS INT)-20 y1,
- x2+CAST(det_id%5 AS INT)-2 x2,y2+CAST(det_id%37 AS INT)-9 y2
+SELECT score_id,page_index,det_id ord,x1+CAST(det_id%9 AS INT)-4 x1,y1+CAST(det_id%41 AS INT)-20 y1,
+ x2+CAST(det_id%9 AS INT)-4 x2,y2+CAST(det_id%37 AS INT)-9 y2
 FROM {f_barline} WHERE det_id%7=2""",
     # OCR probability per measure (mean over its detections)
     "f_measure_prob": f"""

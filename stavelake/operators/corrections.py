@@ -143,10 +143,12 @@ def apply_bar_overrides(
     return kept, stats
 
 
-def rebase_page(overrides: DataFrame, score_id, page_index: int) -> DataFrame:
-    """Overrides of one page readdressed as page 0 of a single-page score."""
-    return overrides.where((F.col("score_id") == score_id) & (F.col("page_index") == page_index)
-                           ).withColumn("page_index", F.lit(0))
+def page_local(overrides: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Readdress overrides of every page as page 0 of its own single-page score.
+
+    The global page stays in ``source_page``; filter on it to take one page.
+    """
+    return overrides.withColumn("source_page", F.col(keys[-1])).withColumn(keys[-1], F.lit(0))
 
 
 # ---- movement boundaries ---------------------------------------------------------

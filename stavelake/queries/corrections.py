@@ -1 +1,310 @@
-"""Queries."""
+"""Corrections, boundary decisions and incremental recompute."""
+
+from pyspark.sql import functions as F
+
+from .. import KEYS
+from ..fixtures import duck
+from ..functions import geometry as g
+from ..operators import corrections as cor
+from ..operators import joins, numbering
+from ..session import materialize
+from . import register
+from .joins import EXP, _OLD, base_measures, detections, old_measures
+from .layout import LAY, ON, PG, _layout, merged_overrides, override_logs
+from .sqltext import expand, iou
+
+AT = ["system", "measure"]
+
+
+@register("merged_measure_overrides", duck(f"""
+SELECT {PG},system,measure,CAST(skip AS INT) AS skip,set_number,force_measure,stage FROM {{o_ov}}""",
+    {**LAY, "o_ov": LAY["o_ov"].replace(",force_measure,stage FROM (SELECT", ",stage=1 AS force_measure,stage FROM (SELECT")}))
+def _(c):
+    return merged_overrides(c)
+
+
+@register("measure_span_operations", duck(f"""
+SELECT {PG},system,measure,ord,op,CAST(CASE WHEN op='set_measure_span' AND skip>=1 THEN skip-1 END AS INT) AS skip,
+ CASE WHEN op='set_measure_span' AND skip<1 THEN 'measure_span_below_one' END AS violation
+FROM {{f_override}} WHERE kind='mmr_measure_span'"""))
+def _(c):
+    return override_logs(c)[2].select(*KEYS, *AT, "ord", "op", "skip", "violation")
+
+
+@register("forced_interval_overrides", duck(f"""
+SELECT {PG},system,measure,ord,skip,set_number,true AS force_measure FROM {{f_override}} WHERE op='force_measure'"""))
+def _(c):
+    return cor.force_measures(c["f_override"]).select(
+        *KEYS, *AT, "ord", "skip", "set_number", "force_measure")
+
+
+_BE = f"""SELECT {PG},ord,x1,y1,x2,y2,CASE WHEN ord%7=0 THEN 'group_staves' WHEN op='add' THEN 'add_barline' ELSE 'remove_barline' END op FROM {{f_bar_override}}"""
+
+
+@register("bar_edit_translation", duck(f"""
+SELECT {PG},ord,x1,y1,x2,y2,CASE op WHEN 'add_barline' THEN 'add' ELSE 'remove' END AS op FROM {{be_}} WHERE op<>'group_staves'""", {"be_": _BE}))
+def _(c):
+    return cor.bar_edits(c.sql(_BE))
+
+
+@register("suppression_overrides", duck(f"""
+SELECT {PG},system,measure,min(ord) AS ord,0 AS skip FROM {{f_override}} WHERE op='suppress' GROUP BY ALL"""))
+def _(c):
+    return cor.suppressions(c["f_override"])
+
+
+@register("concatenated_overrides", duck(f"""
+SELECT {PG},system,measure,ord,0 AS payload FROM {{f_override}} WHERE kind='auto'
+UNION ALL SELECT {PG},system,measure,ord,1 FROM {{f_override}} WHERE kind='measure_construction'"""))
+def _(c):
+    a, b, _ = override_logs(c)
+    return cor.concat_overrides(a, b).select(*KEYS, *AT, "ord", "payload")
+
+
+@register("page_local_overrides", duck("""
+SELECT score_id,page_index AS source_page,0 AS page_index,system,measure,ord FROM {f_override}"""))
+def _(c):
+    return cor.page_local(c["f_override"]).select(
+        "score_id", "source_page", "page_index", *AT, "ord")
+
+
+_J4 = {
+    "j_item": f"""SELECT {PG},x1,y1,x2,y2,CAST(-1 AS BIGINT) ord,count(*) n FROM {{f_barline}} GROUP BY ALL UNION ALL
+      SELECT {PG},x1,y1,x2,y2,ord,1 FROM {{f_bar_override}} WHERE op='add'""",
+    "j_itemx": "SELECT *, " + ", ".join(f"{e} e_{n}" for e, n in zip(expand(), ("x1", "y1", "x2", "y2"))) + " FROM {j_item}",
+    "j_rem": "SELECT *, " + ", ".join(f"{e} e_{n}" for e, n in zip(expand(), ("x1", "y1", "x2", "y2"))) + " FROM {f_bar_override} WHERE op='remove'",
+    "j_state": f"""SELECT a.score_id,a.page_index,a.x1,a.y1,a.x2,a.y2,a.ord,a.n,min(b.ord) rb FROM {{j_itemx}} a LEFT JOIN {{j_rem}} b
+      ON {ON} AND b.ord>a.ord AND {iou('a.e_', 'b.e_')}>=0.5 GROUP BY ALL""",
+}
+
+
+@register("bars_after_edits", duck(f"SELECT {PG},x1,y1,x2,y2,n,ord FROM {{j_state}} WHERE rb IS NULL", _J4))
+def _(c):
+    return cor.apply_bar_overrides(c["f_barline"], c["f_bar_override"])[0]
+
+
+@register("bar_edit_statistics", duck(f"""
+SELECT * FROM (WITH s AS (SELECT {PG},CAST(sum(CASE WHEN rb IS NOT NULL THEN n ELSE 0 END) AS BIGINT) removed,CAST(sum(CASE WHEN ord>=0 THEN n ELSE 0 END) AS BIGINT) added,count(DISTINCT rb) matched FROM {{j_state}} GROUP BY ALL),
+ r AS (SELECT {PG},count(*) rq FROM {{j_rem}} GROUP BY ALL)
+SELECT {PG},coalesce(removed,0) AS removed,coalesce(added,0) AS added,coalesce(rq,0) AS remove_requests,coalesce(rq,0)-coalesce(matched,0) AS unmatched_remove
+FROM s FULL JOIN r USING (score_id,page_index))""", _J4))
+def _(c):
+    return cor.apply_bar_overrides(c["f_barline"], c["f_bar_override"])[1]
+
+
+_EV = f"""SELECT {PG},system,CASE WHEN system=6 AND page_index%4=1 THEN 'maybe' ELSE state END state,
+ CASE WHEN page_index%5=0 THEN 'dup' WHEN page_index%7=1 THEN '' END candidate_id FROM {{f_evidence}}
+ UNION ALL SELECT {PG},system-CASE WHEN page_index%3=0 THEN 9 ELSE 0 END,state,concat('x',CAST(page_index AS VARCHAR(9)),'-',CAST(system AS VARCHAR(9)),'-',CAST(score_id AS VARCHAR(9))) FROM {{f_evidence}} WHERE system=5"""
+_EID = "coalesce(candidate_id,concat('page:',CAST(page_index AS VARCHAR),':system:',CAST(system AS VARCHAR)))"
+
+
+@register("movement_evidence_violations", duck(f"""
+SELECT {PG},system,CASE WHEN page_index<0 OR system<0 THEN 'negative_index' WHEN state NOT IN ('confirmed_automatic','explicit_manual_configured','ambiguous_review_required','no_boundary') THEN 'unknown_state' ELSE 'empty_id' END AS violation
+FROM {{ev_}} WHERE system<0 OR state='maybe' OR {_EID}=''
+UNION ALL SELECT {PG},system,'duplicate_location' FROM {{ev_}} GROUP BY {PG},system HAVING count(*)>1
+UNION ALL SELECT score_id,p.page_index,p.system,'duplicate_id' FROM (SELECT score_id,{_EID} i,count(*) n,min({{'page_index':page_index,'system':system}}) p FROM {{ev_}} WHERE {_EID}<>'' GROUP BY 1,2) WHERE n>1""", {"ev_": _EV}))
+def _(c):
+    return cor.check_evidence(c.sql(_EV))
+
+
+_EVI = f"SELECT {PG},system,state,CAST(NULL AS VARCHAR(9)) candidate_id FROM {{f_evidence}}"
+_RV = f"""SELECT {PG},system,op,CASE WHEN system%2=0 THEN concat('seen ',op) WHEN system=3 THEN '' END reason FROM {{f_review}}
+ UNION ALL SELECT {PG},system,'boundary',NULL FROM {{f_boundary}}"""
+_KIND = f"""SELECT r.*, CASE WHEN e.system IS NOT NULL THEN concat('page:',CAST(r.page_index AS VARCHAR),':system:',CAST(r.system AS VARCHAR)) END cid,
+ CASE WHEN e.system IS NOT NULL AND op='boundary' THEN 'accepted_candidate' WHEN e.system IS NOT NULL THEN 'rejected_candidate' ELSE 'manual_boundary' END kind,
+ CASE WHEN count(*) OVER (PARTITION BY r.score_id,r.page_index,r.system)>1 THEN 'duplicate_location' WHEN e.system IS NULL AND op='no_boundary' THEN 'no_boundary_without_candidate' END viol
+ FROM {{rv_}} r LEFT JOIN (SELECT * FROM {{evi_}} WHERE state='ambiguous_review_required') e USING (score_id,page_index,system)"""
+_CB = {"rv_": _RV, "evi_": _EVI, "kind_": _KIND,
+       "unres_": f"SELECT {PG},system FROM {{evi_}} e WHERE state='ambiguous_review_required' AND NOT EXISTS (SELECT 1 FROM {{rv_}} r WHERE r.score_id=e.score_id AND r.page_index=e.page_index AND r.system=e.system)"}
+
+
+@register("movement_review_kinds", duck(f"""
+SELECT {PG},system,op,cid AS evidence_candidate_id,kind AS review_kind,viol AS violation FROM {{kind_}}""", _CB))
+def _(c):
+    return cor.classify_reviews(c.sql(_RV), c.sql(_EVI)).drop("reason")
+
+
+@register("unresolved_movement_reviews", duck(f"SELECT DISTINCT {PG},system FROM {{unres_}}", _CB))
+def _(c):
+    return cor.unresolved(c.sql(_EVI), c.sql(_RV))
+
+
+_SHA = "A" * 64
+
+
+# every page as a score of its own, so that complete and incomplete reviews both occur
+_ONE = "SELECT score_id*16+page_index score_id,0 page_index,* EXCLUDE (score_id,page_index) FROM (%s) z"
+_CB1 = {**_CB, "rv_": _ONE % _RV, "evi_": _ONE % _EVI}
+_ROW = f"""{PG},system,1 AS reset_number,CASE WHEN kind='accepted_candidate' THEN 'reviewed_candidate' ELSE 'manual' END AS source,
+ CASE WHEN kind='accepted_candidate' THEN cid END AS candidate_id,kind AS action,CASE WHEN reason<>'' THEN reason ELSE 'manual movement-boundary review' END AS reason"""
+
+
+@register("resolved_movement_boundaries", duck(f"""
+SELECT 'preview' AS export,{_ROW} FROM {{kind_}} WHERE op='boundary' AND viol IS NULL AND score_id NOT IN (SELECT score_id FROM {{kind_}} WHERE viol IS NOT NULL)
+UNION ALL SELECT 'final',{_ROW} FROM {{kind_}} WHERE op='boundary' AND viol IS NULL AND score_id NOT IN (SELECT score_id FROM {{kind_}} WHERE viol IS NOT NULL)
+ AND score_id NOT IN (SELECT score_id FROM {{unres_}})""", _CB1))
+def _(c):
+    """Preview exports tolerate unresolved candidates, final ones need a complete review."""
+    one = {"score_id": F.col("score_id") * 16 + F.col("page_index"), "page_index": F.lit(0)}
+    rv, ev = c.sql(_RV).withColumns(one), c.sql(_EVI).withColumns(one)
+    run = lambda name, allow: cor.resolve_boundaries(
+        ev, rv, allow_unresolved=allow, evidence_artifact="movement_boundary_evidence.json",
+        evidence_sha256=_SHA).withColumn("export", F.lit(name))
+    return run("preview", True).unionByName(run("final", False)).select(
+        "export", *KEYS, "system", "reset_number", "source",
+        F.col("provenance.evidence.candidate_id").alias("candidate_id"),
+        F.col("provenance.review.action").alias("action"), F.col("provenance.review.reason").alias("reason"))
+
+
+_BD = f"""SELECT {PG},system-CASE WHEN page_index=5 THEN 4 ELSE 0 END system,CASE WHEN page_index=7 THEN NULL ELSE reset_number END reset_number,
+ CASE WHEN page_index=9 THEN ' ' ELSE source END source FROM {{f_boundary}} UNION ALL SELECT {PG},system,1,'manual' FROM {{f_boundary}} WHERE page_index=11"""
+
+
+@register("boundary_violations", duck(f"""
+SELECT {PG},system,CASE WHEN reset_number IS NULL THEN 'not_an_integer' WHEN page_index<0 OR system<0 THEN 'negative_index' ELSE 'missing_source' END AS violation FROM {{bd_}}
+WHERE reset_number IS NULL OR system<0 OR trim(source)='' UNION ALL SELECT {PG},system,'duplicate_boundary' FROM {{bd_}} GROUP BY {PG},system HAVING count(*)>1""", {"bd_": _BD}))
+def _(c):
+    return cor.check_boundaries(c.sql(_BD))
+
+
+_BT = f"SELECT score_id,page_index+CASE WHEN system=3 THEN 12 ELSE 0 END page_index,system FROM {{f_boundary}}"
+
+
+@register("boundary_target_violations", duck(f"""
+SELECT {PG},system,'unknown_page' AS violation FROM {{bt_}} a WHERE NOT EXISTS (SELECT 1 FROM {{f_page}} b WHERE {ON})
+UNION ALL SELECT {PG},system,'excluded_page' FROM {{bt_}} a WHERE EXISTS (SELECT 1 FROM {{f_evidence}} b WHERE {ON} AND state='no_boundary')""", {"bt_": _BT}))
+def _(c):
+    return cor.boundary_targets(c.sql(_BT), c["f_page"], c["f_evidence"].where("state = 'no_boundary'"))
+
+
+# pages whose bars were edited
+_CH = f"SELECT DISTINCT {PG} FROM {{f_bar_override}}"
+_REMAP = f"""WITH sc AS (SELECT o.score_id,o.page_index,o.system,o.measure,n.measure nm,
+  greatest(0,least(o.x2,n.x2)-greatest(o.x1,n.x1))*greatest(0,least(o.y2,n.y2)-greatest(o.y1,n.y1))
+  /CAST(least(greatest(1,(o.x2-o.x1)*(o.y2-o.y1)),greatest(1,(n.x2-n.x1)*(n.y2-n.y1))) AS DOUBLE) s
+  FROM {{old_}} o JOIN {{o_base}} n ON o.score_id=n.score_id AND o.page_index=n.page_index AND o.system=n.system),
+ r AS (SELECT *, row_number() OVER (PARTITION BY {PG},system,measure ORDER BY s DESC,nm DESC) rn, lead(s) OVER (PARTITION BY {PG},system,measure ORDER BY s DESC,nm DESC) s2 FROM sc WHERE s>0)
+ SELECT {PG},system,measure,nm,coalesce(s2>=0.8 AND s2>=s*0.95,false) amb FROM r WHERE rn=1"""
+_C10 = {**LAY, "old_": _OLD.replace("{m}", "{o_base}"), "remap_": _REMAP, "ch_": _CH}
+_REASON = """CASE WHEN o.x1 IS NULL THEN 'source_measure_missing' WHEN NOT EXISTS (SELECT 1 FROM {o_base} n WHERE q.score_id=n.score_id AND q.page_index=n.page_index AND q.system=n.system) THEN 'system_missing'
+  WHEN r.nm IS NULL THEN 'no_overlap' WHEN r.amb THEN 'ambiguous' END"""
+
+
+@register("remapped_user_overrides", duck(f"""
+SELECT q.score_id,q.page_index,q.system,q.measure,q.ord,q.force_measure,CASE WHEN c.score_id IS NULL OR q.force_measure THEN q.measure WHEN NOT r.amb THEN r.nm END AS new_measure,
+ CASE WHEN c.score_id IS NOT NULL AND q.force_measure THEN 'force_measure_on_changed_bars' WHEN c.score_id IS NOT NULL THEN {_REASON} END AS violation
+FROM {{f_override}} q LEFT JOIN {{ch_}} c USING (score_id,page_index) LEFT JOIN {{old_}} o USING (score_id,page_index,system,measure) LEFT JOIN {{remap_}} r USING (score_id,page_index,system,measure)""", _C10))
+def _(c):
+    new, old = old_measures(c, base_measures(c))
+    ov = c["f_override"].select(*KEYS, *AT, "ord", "force_measure")
+    return cor.remap_user_overrides(ov, c.sql(_CH), old, new)
+
+
+def _affected(m):
+    return f"""SELECT DISTINCT n.score_id,n.page_index,n.system,n.measure FROM (SELECT *, min(d) OVER (PARTITION BY {PG},ord,system) md FROM (
+ SELECT b.score_id,b.page_index,b.ord,m.system,m.measure,CASE WHEN (b.x1+b.x2)/2e0 BETWEEN m.x1 AND m.x2 THEN 0e0 ELSE least(abs((b.x1+b.x2)/2e0-m.x1),abs((b.x1+b.x2)/2e0-m.x2)) END d
+ FROM (SELECT f.* FROM {{f_bar_override}} f JOIN {{ch_}} USING (score_id,page_index)) b JOIN {{{m}}} m ON b.score_id=m.score_id AND b.page_index=m.page_index AND least(b.y2,m.y2)>greatest(b.y1,m.y1))) n WHERE abs(d-md)<1e-6"""
+
+
+_C11 = {**_C10, "aff_old": _affected("old_"), "aff_new": _affected("o_base"),
+        "man_": f"SELECT {PG},system,measure FROM {{f_override}} WHERE kind='mmr_measure_span' AND op='set_measure_span'",
+        "reuse_": f"""SELECT q.score_id,q.page_index,q.system,CASE WHEN c.score_id IS NULL THEN q.measure WHEN NOT r.amb THEN r.nm END measure,q.measure om,q.skip,q.set_number,q.ord,
+ CASE WHEN c.score_id IS NOT NULL THEN {_REASON} END violation FROM (SELECT * FROM {{f_override}} WHERE kind='auto') q LEFT JOIN {{ch_}} c USING (score_id,page_index)
+ LEFT JOIN {{old_}} o USING (score_id,page_index,system,measure) LEFT JOIN {{remap_}} r USING (score_id,page_index,system,measure)
+ WHERE NOT EXISTS (SELECT 1 FROM {{aff_old}} a WHERE a.score_id=q.score_id AND a.page_index=q.page_index AND a.system=q.system AND a.measure=q.measure)""",
+        "reuse2_": f"""SELECT u.* FROM {{reuse_}} u WHERE NOT EXISTS (SELECT 1 FROM {{aff_new}} a WHERE a.score_id=u.score_id AND a.page_index=u.page_index AND a.system=u.system AND a.measure=u.measure)
+ AND NOT EXISTS (SELECT 1 FROM {{man_}} a WHERE a.score_id=u.score_id AND a.page_index=u.page_index AND a.system=u.system AND a.measure=u.measure)"""}
+
+
+@register("reused_auto_overrides", duck(f"""
+SELECT {PG},system,measure,arg_max(skip,ord) AS skip,max(ord) AS ord,CAST(NULL AS VARCHAR) AS violation FROM {{reuse2_}} WHERE violation IS NULL GROUP BY {PG},system,measure
+UNION ALL SELECT {PG},system,om,skip,ord,violation FROM {{reuse2_}} WHERE violation IS NOT NULL""", _C11))
+def _(c):
+    new, old = old_measures(c, base_measures(c))
+    ch = c.sql(_CH)
+    edits = c["f_bar_override"].join(ch, list(KEYS), "left_semi")
+    manual = c["f_override"].where("kind = 'mmr_measure_span' AND op = 'set_measure_span'")
+    return cor.reuse_auto(
+        c["f_override"].where("kind = 'auto'"), ch, old, new, joins.bar_neighborhood(old, edits),
+        joins.bar_neighborhood(new, edits), manual).drop("set_number")
+
+
+@register("selective_rerun_targets", duck(f"""
+SELECT {PG},system,measure FROM {{aff_new}} a WHERE NOT EXISTS (SELECT 1 FROM {{man_}} m WHERE a.score_id=m.score_id AND a.page_index=m.page_index AND a.system=m.system AND a.measure=m.measure)""", _C11))
+def _(c):
+    """Affected measures without a manual override (set difference)."""
+    edits = c["f_bar_override"].join(c.sql(_CH), list(KEYS), "left_semi")
+    manual = c["f_override"].where("kind = 'mmr_measure_span' AND op = 'set_measure_span'")
+    return joins.bar_neighborhood(base_measures(c), edits).join(
+        manual.select(*KEYS, *AT), [*KEYS, *AT], "left_anti")
+
+
+@register("selective_override_merge", duck(f"""
+SELECT {PG},system,measure,skip,sel AS selective FROM (SELECT *, row_number() OVER (PARTITION BY {PG},system,measure ORDER BY sel DESC,ord DESC) rn FROM (
+ SELECT *, kind<>'auto' sel FROM {{f_override}} WHERE kind='auto' OR op='force_measure')) WHERE rn=1"""))
+def _(c):
+    o = c["f_override"]
+    return cor.selective_merge(o.where("kind = 'auto'"), o.where("op = 'force_measure'")).drop("set_number")
+
+
+def _variant(view: str, text: str, suffix: str) -> dict:
+    """Copies of the views that depend on ``view``, with that one replaced."""
+    out, names = {view + suffix: text}, {view}
+    changed = True
+    while changed:
+        changed = False
+        for k, v in LAY.items():
+            if k not in names and any("{%s}" % n in v for n in names):
+                names.add(k)
+                changed = True
+    for k in names - {view}:
+        v = LAY[k]
+        for n in names:
+            v = v.replace("{%s}" % n, "{%s%s}" % (n, suffix))
+        out[k + suffix] = v
+    return out
+
+
+# pages with a reviewed boundary lost their overrides
+_TOUCHED = f"SELECT DISTINCT {PG} FROM {{f_review}} WHERE op='boundary'"
+_NEW_OV = f"SELECT a.* FROM {{o_ov}} a WHERE NOT EXISTS (SELECT 1 FROM {{touched_}} b WHERE {ON})"
+_PGN = """SELECT p.score_id,p.page_index,CAST(coalesce(lag(nx IGNORE NULLS) OVER (PARTITION BY p.score_id ORDER BY p.page_index),1) AS BIGINT) st,
+ CAST(coalesce(last_value(nx IGNORE NULLS) OVER (PARTITION BY p.score_id ORDER BY p.page_index),1) AS BIGINT) nx
+ FROM {f_page} p LEFT JOIN (SELECT score_id,page_index,arg_max(number+1+skip,system*10000+measure) nx FROM {NUM} GROUP BY ALL) n USING (score_id,page_index)"""
+
+
+@register("reused_pages", duck(f"""
+SELECT b.score_id,b.page_index,b.st AS start_number,b.nx AS next_number,
+ t.score_id IS NULL AND coalesce(b.page_index<f.fb,true) AND a.st=b.st AS reused
+FROM {{pgn_b}} b JOIN {{pgn_a}} a USING (score_id,page_index) LEFT JOIN {{touched_}} t USING (score_id,page_index) LEFT JOIN (SELECT score_id,min(page_index) fb FROM {{f_boundary}} GROUP BY 1) f USING (score_id)""",
+    {**LAY, "touched_": _TOUCHED, **_variant("o_ov", _NEW_OV, "_v"), "pgn_a": _PGN.replace("{NUM}", "{o_num}"), "pgn_b": _PGN.replace("{NUM}", "{o_num_v}")}))
+def _(c):
+    """Pages whose overrides changed are rebuilt; the rest is reused where the carry agrees."""
+    iv = materialize(_layout(c).intervals, "intervals")
+    ov = materialize(merged_overrides(c), "overrides")
+    touched = c.sql(_TOUCHED)
+    new_ov = ov.join(touched, list(KEYS), "left_anti")
+    run = lambda o: numbering.page_numbers(
+        numbering.apply_overrides(iv, o), c["f_page"], c["f_boundary"])
+    return cor.page_reuse(run(ov), run(new_ov), touched, c["f_boundary"])
+
+
+_PERS = f"""SELECT {PG},CASE WHEN page_index%7=0 THEN 'v0' ELSE 'final.v1' END schema_version,CASE WHEN page_index%5=1 THEN 'raw' ELSE 'compact' END system_index_contract,
+ n_staves*page_index start_number,n_staves*page_index+9 next_number,CASE WHEN page_index%3=0 THEN '[]' ELSE concat('[',CAST(n_staves AS VARCHAR(9)),']') END boundaries FROM {{f_page}}"""
+_EXPE = f"""SELECT {PG},n_staves*page_index+CASE WHEN score_id%6=0 THEN 1 ELSE 0 END start_number,CASE WHEN page_index%3=0 OR score_id%4=1 THEN '[]' ELSE concat('[',CAST(n_staves AS VARCHAR(9)),']') END boundaries FROM {{f_page}}"""
+
+
+@register("reusable_final_states", duck(f"""
+SELECT {PG},CASE WHEN p.schema_version='final.v1' AND p.system_index_contract='compact' AND p.start_number=e.start_number AND p.boundaries=e.boundaries THEN p.next_number END AS reusable_next
+FROM {{pers_}} p JOIN {{expe_}} e USING (score_id,page_index)""", {"pers_": _PERS, "expe_": _EXPE}))
+def _(c):
+    return cor.reusable_state(c.sql(_PERS), c.sql(_EXPE), schema="final.v1", contract="compact")
+
+
+@register("candidate_union", duck(f"""
+SELECT DISTINCT {PG},x1,y1,x2,y2 FROM {{f_detection}} WHERE source IN ('baseline','omr') AND y2-y1>=37 AND x2-x1>=3"""))
+def _(c):
+    """Distinct union of seeds and candidates above the minimum size."""
+    a = detections(c, "baseline").select(*KEYS, *g.BOX)
+    b = detections(c, "omr").select(*KEYS, *g.BOX)
+    return a.unionByName(b).where("y2 - y1 >= 37 AND x2 - x1 >= 3").distinct()

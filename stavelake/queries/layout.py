@@ -153,14 +153,15 @@ _IDX = """SELECT *, CASE WHEN score_id%3=0 THEN NULL WHEN staff_index%4=3 THEN -
 
 
 @register("systems_by_explicit_index", duck(f"""
-SELECT {PG},CAST(pos AS INT) AS pos, CAST(dense_rank() OVER (PARTITION BY {PG} ORDER BY fp)-1 AS INT) AS system_raw FROM (
- SELECT *, min(pos) OVER (PARTITION BY {PG},grp) fp FROM (
- SELECT *, coalesce(CASE WHEN system_index>=0 THEN system_index END,-1-pos) grp,
-  max(CASE WHEN system_index>=0 THEN 1 ELSE 0 END) OVER (PARTITION BY {PG}) has_any FROM (
-  SELECT *, row_number() OVER (PARTITION BY {PG} ORDER BY y1,staff_index)-1 pos FROM {{idx_}}))) WHERE has_any=1""", {"idx_": _IDX}))
+SELECT * FROM (WITH g AS (SELECT {PG},pos,CAST(sum(CASE WHEN gap IS NOT NULL AND gap<=ah*1.5 AND np>=2 THEN 0 ELSE 1 END) OVER (PARTITION BY {PG} ORDER BY pos)-1 AS INT) sg FROM {{o_feat}}),
+ i AS (SELECT *, max(CASE WHEN system_index>=0 THEN 1 ELSE 0 END) OVER (PARTITION BY {PG}) has_any, coalesce(CASE WHEN system_index>=0 THEN system_index END,-1-pos) grp FROM (
+  SELECT *, row_number() OVER (PARTITION BY {PG} ORDER BY y1,staff_index)-1 pos FROM {{idx_}})),
+ f AS (SELECT *, min(pos) OVER (PARTITION BY {PG},grp) fp FROM i)
+SELECT {PG},CAST(f.pos AS INT) AS pos,CASE WHEN has_any=1 THEN CAST(dense_rank() OVER (PARTITION BY {PG} ORDER BY fp)-1 AS INT) ELSE sg END AS system_raw
+FROM f JOIN g USING (score_id,page_index,pos))""", {**LAY, "idx_": _IDX}))
 def _(c):
-    staff = c.sql(_IDX).where("score_id % 3 <> 0")
-    pos = joins.staff_positions(staff)
+    """Pages without any index fall back to geometry (here without connector evidence)."""
+    pos = joins.staff_positions(c.sql(_IDX))
     pairs = joins.assign_bars(pos, joins.distinct_bars(c["f_barline"]))
     return islands.build_systems(pos, joins.reduce_pairs(pairs), explicit=True).select(
         *KEYS, "pos", "system_raw")
@@ -250,19 +251,19 @@ SELECT {PG}, CAST(coalesce(lag(nx IGNORE NULLS) OVER (PARTITION BY score_id ORDE
  CAST(coalesce(last_value(nx IGNORE NULLS) OVER (PARTITION BY score_id ORDER BY page_index),1) AS BIGINT) AS next_number
 FROM (SELECT p.score_id,p.page_index,n.nx FROM {{f_page}} p LEFT JOIN
  (SELECT {PG},arg_max(number+1+skip,system*10000+measure) nx FROM {{o_num}} GROUP BY ALL) n USING (score_id,page_index))""",
-    {**LAY, "o_int": LAY["o_int"] + " WHERE (v.score_id*16+v.page_index)%11<>4"}))
+    {**LAY, "o_int": LAY["o_int"] + " WHERE NOT EXISTS (SELECT 1 FROM {f_evidence} e WHERE e.state='no_boundary' AND e.score_id=v.score_id AND e.page_index=v.page_index)"}))
 def _(c):
-    """Page 4 modulo 11 is excluded by the user: it carries the running number over."""
-    lay = _layout(c)
-    iv = lay.intervals.where("(score_id * 16 + page_index) % 11 <> 4")
+    """Pages on the exclusion list carry the running number over."""
+    excluded = c["f_evidence"].where("state = 'no_boundary'")
+    iv = joins.exclude_pages(_layout(c).intervals, excluded)
     m = materialize(numbering.apply_overrides(iv, merged_overrides(c)), "measures")
     return numbering.page_numbers(m, c["f_page"], c["f_boundary"], block=4)
 
 
 @register("unknown_boundaries", duck(f"""
-SELECT {PG},system FROM {{f_boundary}} b WHERE NOT EXISTS (SELECT 1 FROM {{o_cidx}} a WHERE {ON} AND a.system=b.system)""", LAY))
+SELECT {PG},system FROM {{f_review}} b WHERE NOT EXISTS (SELECT 1 FROM {{o_cidx}} a WHERE {ON} AND a.system=b.system)""", LAY))
 def _(c):
-    return numbering.unknown_boundaries(c["f_boundary"], _layout(c).intervals)
+    return numbering.unknown_boundaries(c["f_review"], _layout(c).intervals)
 
 
 @register("row_labels", duck(f"""
