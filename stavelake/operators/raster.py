@@ -684,8 +684,8 @@ def spacing(rows: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
 
 
 def opposing_lines(
-    columns: DataFrame, *, unit: str = "unit", min_columns: float, min_width: float, min_shift: float,
-    keys: Sequence[str] = ("component_id",),
+    columns: DataFrame, *, unit: str = "unit", min_columns: float = 1.0, min_width: float = 2.0,
+    min_shift: float = 0.25, keys: Sequence[str] = ("component_id",),
 ) -> DataFrame:
     """Do the upper and lower run of a component converge or diverge?
 

@@ -96,3 +96,19 @@ def previous(
         .withColumn(out, F.when(F.col("_first"), F.col("_prev")).otherwise(F.col("_lag")))
         .drop("_blk", "_val", "_first", "_lag", "_prev")
     )
+
+
+def row_numbers(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, out: str
+) -> DataFrame:
+    """1-based ``row_number`` by ``order`` within ``keys``, counted block by block.
+
+    ``block`` must be non-decreasing along ``order`` (for text: a fixed-length prefix).
+    """
+    b = df.withColumn("_blk", block)
+    w = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    off = b.groupBy(*keys, "_blk").agg(F.count("*").alias("_n")).select(
+        *keys, "_blk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy(*keys, "_blk").orderBy(*order)
+    return b.withColumn(out, F.row_number().over(inner)).join(off, [*keys, "_blk"]).withColumn(
+        out, (F.col(out) + F.col("_off")).cast("bigint")).drop("_blk", "_off")

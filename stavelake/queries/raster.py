@@ -163,7 +163,7 @@ _TP = ",".join(f"max(CASE WHEN s.n='{n}' THEN {c} END) {n}_{c}" for n in ("roi",
 @register("thin_run_acceptance", duck(f"""
 SELECT * FROM (WITH d AS (SELECT * FROM {{rd_}} WHERE NOT (x2-x1<2 AND y2-y1<18) AND x1>0 AND x2<64 AND (x1+x2)/2e0>8),
  e AS (SELECT b.*, {_TS} s FROM d b),
- q AS (SELECT e.page_id,e.x1,e.y1,e.x2,e.y2,e.s,count(*) n,avg(l.p) mn,stddev_pop(l.p) sd,avg(CASE WHEN l.p<{DARK} THEN 1e0 ELSE 0e0 END) dr FROM e JOIN {{r_long}} l ON l.page_id=e.page_id AND l.y>=e.y1 AND l.y<e.y2 AND l.x>=e.s.a AND l.x<e.s.z GROUP BY ALL),
+ q AS (SELECT e.page_id,e.x1,e.y1,e.x2,e.y2,e.s,count(*) n,avg(l.p) mn,sqrt(greatest(0,(count(*)*sum(l.p*l.p)-sum(l.p)*sum(l.p))/CAST(count(*)*count(*) AS DOUBLE))) sd,avg(CASE WHEN l.p<{DARK} THEN 1e0 ELSE 0e0 END) dr FROM e JOIN {{r_long}} l ON l.page_id=e.page_id AND l.y>=e.y1 AND l.y<e.y2 AND l.x>=e.s.a AND l.x<e.s.z GROUP BY ALL),
  p AS (SELECT {BX},{_TP} FROM q GROUP BY {BX}),
  k AS (SELECT *, left_mn>=127 OR coalesce(rleft_mn>=127 AND rleft_dr<=0.28,false) lo, right_mn>=127 OR coalesce(rright_mn>=127 AND rright_dr<=0.28,false) ro FROM p),
  o AS (SELECT *, lo AND ro bo, NOT (lo AND ro) AND lo<>ro AND (CASE WHEN lo THEN right_dr ELSE left_dr END)<=0.3 ov FROM k)
@@ -384,13 +384,13 @@ _OL = f"""SELECT {PG},staff_index,x1 x,CAST(y1 AS DOUBLE)+CASE WHEN score_id%3=0
 
 
 @register("opposing_line_fragments", duck(f"""
-SELECT {PG},staff_index,round(su*w,6) AS upper_shift,round(sl*w,6) AS lower_shift,coalesce(n>=greatest(2,2*1e0) AND w>=2*20e0 AND su*w*sl*w<0 AND least(abs(su*w),abs(sl*w))>=2*0.5e0,false) AS opposing,
- coalesce(2<=2 AND n<2*2e0 AND n>=greatest(2,2*1e0) AND w>=2*20e0 AND su*w*sl*w<0 AND least(abs(su*w),abs(sl*w))>=2*0.5e0,false) AS fragment
+SELECT {PG},staff_index,round(su*w,6) AS upper_shift,round(sl*w,6) AS lower_shift,coalesce(n>=greatest(2,2*1e0) AND w>=2*20e0 AND su*w*sl*w<0 AND least(abs(su*w),abs(sl*w))>=2*0.47e0,false) AS opposing,
+ coalesce(2<=2 AND n<2*2e0 AND n>=greatest(2,2*1e0) AND w>=2*20e0 AND su*w*sl*w<0 AND least(abs(su*w),abs(sl*w))>=2*0.47e0,false) AS fragment
 FROM (SELECT {PG},staff_index,count(*) n,max(x)-min(x) w,regr_slope(upper,x) su,regr_slope(lower,x) sl FROM {{ol_}} GROUP BY ALL)""", {"ol_": _OL}))
 def _(c):
     cols = c.sql(_OL)
     ids = [*KEYS, "staff_index"]
-    o = raster.opposing_lines(cols, min_columns=1.0, min_width=20.0, min_shift=0.5, keys=ids)
+    o = raster.opposing_lines(cols, min_width=20.0, min_shift=0.47, keys=ids)
     n = cols.groupBy(*ids).agg(F.count("*").alias("span"))
     return o.join(n, ids).select(*ids, "upper_shift", "lower_shift", "opposing", raster.short_fragment(
         F.lit(2), F.col("span"), F.lit(2.0), F.col("opposing")).alias("fragment"))
