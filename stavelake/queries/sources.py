@@ -130,9 +130,9 @@ def _(c):
 
 
 @register("page_manifest", duck(f"""
-SELECT p.score_id,p.page_index,p.n_staves,s.status,coalesce(t.j,'{{{{}}}}') AS barline_overrides FROM {{f_page}} p
+SELECT p.score_id,p.page_index,p.n_staves,s.status,coalesce(t.j,'LBRB') AS barline_overrides FROM {{f_page}} p
 LEFT JOIN (SELECT {PG},arg_min(op,ord) status FROM {{f_override}} GROUP BY ALL) s USING (score_id,page_index)
-LEFT JOIN (SELECT {PG},concat('{{{{"added":',CAST(sum(CASE WHEN op='add' THEN 1 ELSE 0 END) AS VARCHAR),',"removed":',CAST(sum(CASE WHEN op='remove' THEN 1 ELSE 0 END) AS VARCHAR),'}}}}') j FROM {{f_bar_override}} GROUP BY ALL) t USING (score_id,page_index)""".replace("{{{{", "{{").replace("}}}}", "}}")))
+LEFT JOIN (SELECT {PG},concat('LB"added":',CAST(sum(CASE WHEN op='add' THEN 1 ELSE 0 END) AS VARCHAR),',"removed":',CAST(sum(CASE WHEN op='remove' THEN 1 ELSE 0 END) AS VARCHAR),'RB') j FROM {{f_bar_override}} GROUP BY ALL) t USING (score_id,page_index)""").replace("LB", "{").replace("RB", "}"))
 def _(c):
     stats = c["f_bar_override"].groupBy(*KEYS).agg(
         F.sum((F.col("op") == "add").cast("int")).alias("added"), F.sum((F.col("op") == "remove").cast("int")).alias("removed"))

@@ -62,6 +62,11 @@ def _boxes(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "array<variant>")
 
 
+def _pin(df: DataFrame, keep: Sequence[str], **cols: Column) -> DataFrame:
+    """Evaluate columns once: a one-row generator keeps the optimizer from inlining them."""
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in cols.items())))))
+
+
 def _shape(v: Column) -> Column:
     """coordinates | barline_location | predictions | NULL of a parsed detection document."""
     rows = _boxes(v, "$")
@@ -90,36 +95,30 @@ def read_boxes(docs: DataFrame, keys: Sequence[str], *, strict: bool = True) ->
     malformed entries are skipped.  Documents are parsed where they lie and unnested by
     ``posexplode``; nothing is grouped.
     """
-    v = F.try_parse_json("text")
-    d = docs.select(*keys, v.alias("v")).withColumn("shape", _shape(F.col("v")))
-    rows = F.when(F.col("shape") == "predictions", _boxes(F.col("v"), "$.predictions")).otherwise(
-        _boxes(F.col("v"), "$"))
-    number = lambda x: F.coalesce(
-        F.schema_of_variant(x).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.lit(False))
-    num = lambda c, i: F.try_variant_get(F.get(c, i), "$", "double")
-
-    def box(r):
-        c = _coords(r, F.col("shape"))
-        four = F.coalesce(F.size(c) == 4, F.lit(False))
-        bad = (
-            F.when(~four, "four_coordinates_required")
-            .when(F.exists(c, lambda x: ~number(x)), "non_numeric_coordinate")
-            .when((num(c, 2) < num(c, 0)) | (num(c, 3) < num(c, 1)), "reversed_bounds"))
-        return F.struct(
-            bad.alias("bad"), four.alias("four"),
-            *(F.when(four, num(c, i).cast("int")).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))))
-
-    d = d.withColumn("boxes", F.transform(rows, box))
-    first_bad = F.get(F.filter("boxes", lambda b: b["bad"].isNotNull()), 0)["bad"]
-    why = F.when(F.col("v").isNull(), "invalid_json").when(F.col("shape").isNull(), "unsupported_shape").when(
-        F.lit(strict), first_bad)
-    d = d.withColumn("violation", why)
-    good = d.where("violation IS NULL") if strict else d.where("boxes IS NOT NULL")
-    out = good.select(*keys, F.posexplode("boxes").alias("pos", "b"))
+    d = _pin(docs.select(*keys, "text"), keys, v=F.try_parse_json("text"))
+    d = _pin(d, [*keys, "v"], shape=_shape(F.col("v")), rows=F.coalesce(
+        _boxes(F.col("v"), "$.predictions"), _boxes(F.col("v"), "$")))
+    d = _pin(d, [*keys, "v", "shape"],
+             coords=F.transform("rows", lambda r: F.coalesce(_coords(r, F.col("shape")), F.array().cast("array<variant>"))))
+    d = _pin(d, [*keys, "v", "shape"], parsed=F.transform("coords", lambda c: F.struct(
+        F.size(c).alias("n"),
+        F.exists(c, lambda x: ~F.coalesce(
+            F.schema_of_variant(x).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.lit(False))).alias("odd"),
+        F.transform(c, lambda x: F.try_variant_get(x, "$", "double")).alias("p"))))
+    at = lambda b, i: F.get(b["p"], i)
+    bad = lambda b: (
+        F.when(b["n"] != 4, "four_coordinates_required").when(b["odd"], "non_numeric_coordinate")
+        .when((at(b, 2) < at(b, 0)) | (at(b, 3) < at(b, 1)), "reversed_bounds"))
+    first_bad = F.get(F.filter(F.transform("parsed", bad), lambda w: w.isNotNull()), 0)
+    why = F.when(F.col("v").isNull(), "invalid_json").when(F.col("shape").isNull(), "unsupported_shape")
+    if strict:
+        why = why.when(F.size("parsed") > 0, first_bad)
+    d = _pin(d, [*keys, "parsed"], violation=why)
+    ok = d.where("violation IS NULL").select(*keys, F.posexplode("parsed").alias("pos", "b"))
     if not strict:
-        out = out.where("b.four AND b.x1 IS NOT NULL AND b.x2 IS NOT NULL AND b.y1 IS NOT NULL AND b.y2 IS NOT NULL")
+        ok = ok.where("b.n = 4 AND NOT exists(b.p, x -> x IS NULL)")
     return (
-        out.select(*keys, "pos", "b.x1", "b.y1", "b.x2", "b.y2"),
+        ok.select(*keys, "pos", *(F.get("b.p", i).cast("int").alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2")))),
         d.where("violation IS NOT NULL").select(*keys, "violation"),
     )
 
