@@ -65,3 +65,62 @@ SELECT job_id,count(*) AS n_samples,max(rss_bytes) AS peak_rss_bytes,round(max(C
 def _(c):
     s = c.sql(_CPU).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     return rollups.resource_peaks(rollups.cpu_percent(s)).withColumn("peak_cpu_percent", R6(F.col("peak_cpu_percent")))
+
+
+# ---- the same results from a stream --------------------------------------------------
+
+
+def _stream(c, name):
+    """Events written once to the shared folder and read back as a stream."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..streaming import progress as st
+
+    root = f"{shared_dir(c.spark, 'streams')}/{name}-{uuid.uuid4().hex}"
+    progress(c).select("job_id", "event_id", "us", "sequence", "kind", "stage_id", "completed_units",
+                       "total_units").write.parquet(f"{root}/in")
+    return st, st.read_events(c.spark, f"{root}/in"), root
+
+
+def _collect(c, st, stream, root, schema, mode="append"):
+    st.run_available(stream, lambda df, i: df.write.mode("overwrite").parquet(f"{root}/out/batch={i}"),
+                     f"{root}/checkpoint", mode)
+    return c.spark.read.schema(schema).parquet(f"{root}/out").drop("batch")
+
+
+@register("streamed_sequence_violations", duck(f"""
+SELECT job_id,event_id,why AS violation FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts,event_id) rn FROM (
+ SELECT *, CASE WHEN sequence<=lag(sequence) OVER w THEN 'sequence_not_increasing' WHEN lag({_TERM}) OVER w THEN 'event_after_terminal' END why FROM {{f_progress}} WINDOW w AS (PARTITION BY job_id ORDER BY ts,event_id)) WHERE why IS NOT NULL) WHERE rn=1"""))
+def _(c):
+    st, events, root = _stream(c, "sequence")
+    return _collect(c, st, st.validate_progress(events), root, "job_id bigint, event_id bigint, violation string")
+
+
+@register("streamed_latest_progress", duck("""
+SELECT job_id,stage_id,sequence,completed_units,total_units FROM (SELECT *, row_number() OVER (PARTITION BY job_id,stage_id ORDER BY sequence DESC,event_id DESC) rn FROM {f_progress}) WHERE rn=1"""))
+def _(c):
+    st, events, root = _stream(c, "latest")
+    out = _collect(c, st, st.latest_progress(events), root,
+                   "job_id bigint, stage_id string, sequence bigint, completed_units int, total_units int", "update")
+    # update mode may emit a key more than once: its last state has the highest sequence
+    return out.groupBy("job_id", "stage_id").agg(
+        F.max("sequence").alias("sequence"), F.max_by("completed_units", "sequence").alias("completed_units"),
+        F.max_by("total_units", "sequence").alias("total_units"))
+
+
+@register("streamed_current_overrides", duck("""
+SELECT score_id,page_index,system,measure,max(ord) AS ord,arg_max(op,ord) AS op,arg_max(skip,ord) AS skip FROM {f_override} GROUP BY ALL"""))
+def _(c):
+    """The correction log folded to its current table by an idempotent batch sink."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..streaming import progress as st
+
+    root = f"{shared_dir(c.spark, 'streams')}/overrides-{uuid.uuid4().hex}"
+    log = c["f_override"].select("score_id", "page_index", "system", "measure", "ord", "op", "skip")
+    log.write.parquet(f"{root}/in")
+    table = st.OverrideTable(f"{root}/table", ["score_id", "page_index", "system", "measure"])
+    st.run_available(c.spark.readStream.schema(log.schema).parquet(f"{root}/in"), table.write, f"{root}/checkpoint")
+    return table.current(c.spark)
