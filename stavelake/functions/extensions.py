@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def score_candidates(
@@ -18,7 +19,7 @@ def score_candidates(
     ``make_scorer`` runs once per task; the scorer maps a frame of at most ``batch`` rows to
     one logit per row.
     """
-    schema = df.schema.add("score", "double")
+    schema = StructType([*df.schema.fields, StructField("score", DoubleType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
