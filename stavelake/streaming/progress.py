@@ -173,9 +173,19 @@ class CountingSink:
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over everything available and stop."""
-    q = (
-        stream.writeStream.outputMode(mode).foreachBatch(sink)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    """Run a stream over everything available and stop.
+
+    Batches without data are switched off for the run: a processing-time timeout would ask
+    for another one forever.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        q = (
+            stream.writeStream.outputMode(mode).foreachBatch(sink)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        conf.set(key, before)
     q.awaitTermination()
