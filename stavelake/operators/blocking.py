@@ -90,3 +90,9 @@ def eq(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     for n in names:
         cond = cond & (left[n] == right[n])
     return cond
+
+
+def pin(df: DataFrame, keep: Sequence[str], **cols: Column) -> DataFrame:
+    """Evaluate columns once: a one-row generator keeps the optimizer from inlining them
+    into every later use."""
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in cols.items())))))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import scan
+from .blocking import pin
 
 STAGES = (
     "job", "input_validation", "pdf_render", "score_detection", "measure_construction",
@@ -87,6 +88,8 @@ def correction_violation(record: Column) -> Column:
 
 def check_corrections(sets: DataFrame) -> DataFrame:
     """Violations of correction records (``correction_set_id``, ``ord``, VARIANT ``record``)."""
+    sets = pin(sets.select("correction_set_id", "ord", "record"), ["correction_set_id", "ord"],
+               record=F.col("record"))
     rows = sets.select("correction_set_id", "ord", correction_violation(F.col("record")).alias("violation"),
                        F.try_variant_get("record", "$.correction_id", "string").alias("cid"))
     dup = rows.where("cid IS NOT NULL").groupBy("correction_set_id", "cid").agg(

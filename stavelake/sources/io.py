@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import scan
+from ..operators.blocking import pin
 
 PROGRESS_SCHEMA = (
     "job_id string, sequence bigint, kind string, stage_id string, terminal boolean, page_number int, "
@@ -62,11 +63,6 @@ def _boxes(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "array<variant>")
 
 
-def _pin(df: DataFrame, keep: Sequence[str], **cols: Column) -> DataFrame:
-    """Evaluate columns once: a one-row generator keeps the optimizer from inlining them."""
-    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in cols.items())))))
-
-
 def _shape(v: Column) -> Column:
     """coordinates | barline_location | predictions | NULL of a parsed detection document."""
     rows = _boxes(v, "$")
@@ -95,12 +91,12 @@ def read_boxes(docs: DataFrame, keys: Sequence[str], *, strict: bool = True) ->
     malformed entries are skipped.  Documents are parsed where they lie and unnested by
     ``posexplode``; nothing is grouped.
     """
-    d = _pin(docs.select(*keys, "text"), keys, v=F.try_parse_json("text"))
-    d = _pin(d, [*keys, "v"], shape=_shape(F.col("v")), rows=F.coalesce(
+    d = pin(docs.select(*keys, "text"), keys, v=F.try_parse_json("text"))
+    d = pin(d, [*keys, "v"], shape=_shape(F.col("v")), rows=F.coalesce(
         _boxes(F.col("v"), "$.predictions"), _boxes(F.col("v"), "$")))
-    d = _pin(d, [*keys, "v", "shape"],
+    d = pin(d, [*keys, "v", "shape"],
              coords=F.transform("rows", lambda r: F.coalesce(_coords(r, F.col("shape")), F.array().cast("array<variant>"))))
-    d = _pin(d, [*keys, "v", "shape"], parsed=F.transform("coords", lambda c: F.struct(
+    d = pin(d, [*keys, "v", "shape"], parsed=F.transform("coords", lambda c: F.struct(
         F.size(c).alias("n"),
         F.exists(c, lambda x: ~F.coalesce(
             F.schema_of_variant(x).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.lit(False))).alias("odd"),
@@ -113,7 +109,7 @@ def read_boxes(docs: DataFrame, keys: Sequence[str], *, strict: bool = True) ->
     why = F.when(F.col("v").isNull(), "invalid_json").when(F.col("shape").isNull(), "unsupported_shape")
     if strict:
         why = why.when(F.size("parsed") > 0, first_bad)
-    d = _pin(d, [*keys, "parsed"], violation=why)
+    d = pin(d, [*keys, "parsed"], violation=why)
     ok = d.where("violation IS NULL").select(*keys, F.posexplode("parsed").alias("pos", "b"))
     if not strict:
         ok = ok.where("b.n = 4 AND NOT exists(b.p, x -> x IS NULL)")
