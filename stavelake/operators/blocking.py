@@ -56,9 +56,9 @@ def interval_pairs(
 
 
 def expanded(df: DataFrame, prefix: str, src: g.Box | None = None, **pad) -> DataFrame:
-    """Materialise the padded box once per row as ``{prefix}x1`` …"""
+    """Evaluate the padded box once per row as ``{prefix}x1`` …"""
     e = g.expand_box(src or g.box(), **pad)
-    return df.select("*", *(c.alias(f"{prefix}{n}") for c, n in zip(e, g.BOX)))
+    return pin(df, df.columns, **{f"{prefix}{n}": c for c, n in zip(e, g.BOX)})
 
 
 def iou_anchor(df: DataFrame, prefix: str, cell: int) -> DataFrame:

@@ -87,48 +87,32 @@ def aligned_pairs(
 ) -> DataFrame:
     """Per staff (``pos``): its bar count and the bar pairs aligned with the staff above.
 
-    A pair counts when the centres differ by ≤ 0.4 pair units.  Every centre is sent to
-    its own cell and, as a member of the staff below, to the cells its tolerance reaches;
-    a cell then holds a bounded number of distinct half-pixel centres per side, so pairs
-    are counted inside one small group instead of through a self-join.
+    A pair counts when the centres differ by ≤ 0.4 pair units.  Centres are reduced to
+    distinct half pixels with multiplicities and meet on 64-half-pixel cells, so a staff
+    contributes a bounded number of partners per cell whatever its number of bars.
+    ``extents`` feeds three branches: write it once (``materialize``) on large inputs.
     """
     w = Window.partitionBy(*keys).orderBy("pos")
     unit = g.staff_unit(F.col("unit_size"), g.box())
     s = staff.select(*keys, "pos", unit.alias("u"))
+    # twice the centre keeps values integral; the tolerance doubles with it
     tol = s.select(
-        *keys, "pos",
-        ((F.lag("u").over(w) + F.col("u")) / 2.0 * ALIGN_UNITS).alias("tol_up"),
-        ((F.lead("u").over(w) + F.col("u")) / 2.0 * ALIGN_UNITS).alias("tol_down"),
-    )
+        *keys, "pos", ((F.lag("u").over(w) + F.col("u")) / 2.0 * ALIGN_UNITS * 2).alias("tol_up"),
+        ((F.lead("u").over(w) + F.col("u")) / 2.0 * ALIGN_UNITS * 2).alias("tol_down"))
     c = extents.groupBy(*keys, "pos", (F.col("x1") + F.col("x2")).alias("c2")).agg(
-        F.sum("n").alias("n")
-    ).join(tol, [*keys, "pos"])
-    # twice the centre keeps values integral; the tolerance doubles with it
-    reach = F.transform(
-        bl.cells(F.col("c2") - 2 * F.col("tol_down"), F.col("c2") + 2 * F.col("tol_down"), 64),
-        lambda k: F.struct((F.col("pos") + 1).alias("pos"), k.alias("cell"), F.lit(True).alias("up")),
-    )
-    own = F.array(F.struct(
-        F.col("pos"), bl.cell_of(F.col("c2"), 64).alias("cell"), F.lit(False).alias("up")))
-    roles = c.select(
-        *keys, "c2", "n", "tol_up",
-        F.explode(F.when(F.col("tol_down").isNotNull(), F.concat(own, reach)).otherwise(own)).alias("r"),
-    ).select(*keys, F.col("r.pos").alias("pos"), F.col("r.cell").alias("cell"),
-             F.when(~F.col("r.up"), F.col("tol_up")).alias("tol"),
-             F.when(~F.col("r.up"), F.col("n")).alias("n_own"),
-             F.when(F.col("r.up"), F.struct("c2", "n")).alias("upper"),
-             F.when(~F.col("r.up"), F.struct("c2", "n")).alias("lower"))
-    cell = roles.groupBy(*keys, "pos", "cell").agg(
-        F.collect_list("upper").alias("u"), F.collect_list("lower").alias("l"),
-        F.max("tol").alias("tol"), F.sum("n_own").alias("n_own"),
-    )
-    hits = lambda lo: F.aggregate(
-        F.filter("u", lambda up: F.abs(up["c2"] - lo["c2"]) / 2.0 <= F.col("tol")),
-        F.lit(0).cast("bigint"), lambda a, up: a + up["n"] * lo["n"])
-    return cell.groupBy(*keys, "pos").agg(
-        F.sum(F.aggregate("l", F.lit(0).cast("bigint"), lambda a, lo: a + hits(lo))).alias("n_pairs"),
-        F.sum("n_own").alias("n_bars"),
-    )
+        F.sum("n").alias("n"))
+    ct = c.join(tol, [*keys, "pos"])
+    low = ct.where("tol_up IS NOT NULL").select(
+        *keys, "pos", bl.cell_of(F.col("c2"), 64).alias("_cell"), F.col("c2").alias("lc"),
+        F.col("n").alias("ln"), F.col("tol_up").alias("tol"))
+    up = ct.where("tol_down IS NOT NULL").select(
+        *keys, (F.col("pos") + 1).alias("pos"), F.col("c2").alias("uc"), F.col("n").alias("un"),
+        F.explode(bl.cells(F.col("c2") - F.col("tol_down"), F.col("c2") + F.col("tol_down"), 64)).alias("_cell"))
+    pairs = low.join(up, [*keys, "pos", "_cell"]).where(
+        F.abs(F.col("uc") - F.col("lc")) <= F.col("tol")
+    ).groupBy(*keys, "pos").agg(F.sum(F.col("ln") * F.col("un")).alias("n_pairs"))
+    bars = c.groupBy(*keys, "pos").agg(F.sum("n").alias("n_bars"))
+    return bars.join(pairs, [*keys, "pos"], "left")
 
 
 def consensus(

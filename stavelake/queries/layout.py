@@ -100,6 +100,10 @@ def _pairs(c):
     return pos, joins.assign_bars(pos, joins.distinct_bars(c["f_barline"]))
 
 
+def _extents(pairs):
+    return materialize(joins.reduce_pairs(pairs), "extents")
+
+
 def _connector(c):
     return c["f_connector"].withColumnRenamed("staff_index", "pos")
 
@@ -127,7 +131,7 @@ def _(c):
 @register("aligned_bar_pairs", duck(f"SELECT {PG},pos::INT AS pos,n_pairs FROM {{o_pair}}", LAY))
 def _(c):
     pos, pairs = _pairs(c)
-    return joins.aligned_pairs(pos, joins.reduce_pairs(pairs)).where("n_pairs > 0").select(
+    return joins.aligned_pairs(pos, _extents(pairs)).where("n_pairs > 0").select(
         *KEYS, "pos", "n_pairs")
 
 
@@ -135,7 +139,7 @@ def _(c):
 SELECT {PG},pos::INT AS pos,link,chain_size,sr AS system_raw FROM {{o_sys}}""", LAY))
 def _(c):
     pos, pairs = _pairs(c)
-    return islands.build_systems(pos, joins.reduce_pairs(pairs), _connector(c)).select(
+    return islands.build_systems(pos, _extents(pairs), _connector(c)).select(
         *KEYS, "pos", "link", "chain_size", "system_raw")
 
 
@@ -145,7 +149,7 @@ SELECT {PG},pos::INT AS pos,CAST(sum(CASE WHEN gap IS NOT NULL AND ((gap<=ah*1.5
   OVER (PARTITION BY {PG} ORDER BY pos)-1 AS INT) AS system_raw FROM {{o_feat}}""", LAY))
 def _(c):
     pos, pairs = _pairs(c)
-    return islands.build_systems(pos, joins.reduce_pairs(pairs), _connector(c),
+    return islands.build_systems(pos, _extents(pairs), _connector(c),
                                  connector_aware=False).select(*KEYS, "pos", "system_raw")
 
 
@@ -163,7 +167,7 @@ def _(c):
     """Pages without any index fall back to geometry (here without connector evidence)."""
     pos = joins.staff_positions(c.sql(_IDX))
     pairs = joins.assign_bars(pos, joins.distinct_bars(c["f_barline"]))
-    return islands.build_systems(pos, joins.reduce_pairs(pairs), explicit=True).select(
+    return islands.build_systems(pos, _extents(pairs), explicit=True).select(
         *KEYS, "pos", "system_raw")
 
 
@@ -172,7 +176,7 @@ SELECT {PG},CAST(min(pos) AS INT) AS first_pos,count(*) AS chain_size FROM {{o_c
 HAVING count(*)>1""", LAY))
 def _(c):
     pos, pairs = _pairs(c)
-    s = islands.build_systems(pos, joins.reduce_pairs(pairs), _connector(c))
+    s = islands.build_systems(pos, _extents(pairs), _connector(c))
     return s.where("link <> 'none' OR chain_size > 1").groupBy(
         *KEYS, "chain_size", (F.col("pos") - F.lit(0)).alias("pos")).agg(F.first("link").alias("link")).where(
         "link = 'none' AND chain_size > 1").select(*KEYS, F.col("pos").alias("first_pos"), "chain_size")
