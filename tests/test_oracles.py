@@ -1,4 +1,4 @@
-"""Registered queries against their DuckDB oracles on the smallest data set.
+"""Registered queries against their DuckDB oracles at sf0.01 (detection ids are unique there).
 
 The quick subset runs by default; ORACLES=all runs every query.
 """
