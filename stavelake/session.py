@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Only runtime SQL settings; each is left alone when the caller already set it.
 _DEFAULTS = {
@@ -29,11 +30,15 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """Folder for checkpoints and intermediate tables, shared by all executors.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset (local
-    tests) is a temporary folder used and recorded in the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local master gets a
+    temporary folder, which is recorded in the session; any other master is an error, as each
+    executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}"
@@ -46,11 +51,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Cuts the lineage where one result feeds several branches; unlike cached blocks it
-    survives lost executors and carries file statistics for the next join.
+    survives lost executors and carries file statistics for the next join. Fails when the
+    rows that can be read are not the rows that were written.
     """
     path = f"{shared_dir(df.sparkSession, 'tables')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    written, found = seen.get["n"], out.count()
+    if written != found:
+        raise RuntimeError(f"{path}: {written} rows written, {found} can be read; is the folder shared?")
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def local_session(app: str = "stavelake", cores: str | None = None) -> SparkSession:
