@@ -39,7 +39,7 @@ def mix(docs: DataFrame, seed: int = 17, tilt: float = 0.5, block_rows: int = 2_
     Every document of a source whose target is r times its size gets floor(r) certain copies.
     The rest is sampled: inclusion odds rise with size ** tilt, documents are ranked by random
     odds over inclusion odds, and the first are taken while a source's words come nearer to
-    its target. Size counts words of the whole text, 0 for a null or empty text, which may
+    its target; one document of the size that is then off is added or left out. Size counts words of the whole text, 0 for a null or empty text, which may
     be taken but adds nothing. A null source is a source. Random numbers come from the id,
     so reruns agree; rows with equal ids are told apart by size. Other columns are ignored.
     """
@@ -75,7 +75,21 @@ def mix(docs: DataFrame, seed: int = 17, tilt: float = 0.5, block_rows: int = 2_
     d = d.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     d = d.join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
     sampled = (F.col("whole") < MOST_COPIES) & (F.col("before") + F.col("within") + F.col("size") / 2 <= F.col("rest"))
-    copies = F.col("whole") + sampled.cast("long")
+    d = materialize(d.select("doc_id", "source", "size", "tie", "q", "source_size", "target", "whole", "rest",
+                             sampled.alias("sampled")), "mix-sampled")
+
+    # the words still missing or too many are made up by the one document of nearest size
+    gap = d.groupBy("source").agg((F.max("rest") - F.sum(F.when(F.col("sampled"), F.col("size")).otherwise(0))).alias("gap"))
+    d = d.join(gap.select(F.col("source").alias("g_source"), "gap"), F.col("source").eqNullSafe(F.col("g_source")))
+    can = (F.col("whole") < MOST_COPIES) & (F.col("size") > 0) & (F.col("sampled") == (F.col("gap") < 0))
+    off = F.abs(F.abs(F.col("gap")) - F.col("size"))
+    better = can & (off < F.abs(F.col("gap")))
+    me = F.struct(off.alias("off"), "q", "doc_id", "size", "tie")
+    d = d.withColumn("me", F.when(better, me))
+    one = d.groupBy("source").agg(F.min("me").alias("chosen")).select(F.col("source").alias("o_source"), "chosen")
+    d = d.join(one, F.col("source").eqNullSafe(F.col("o_source")))
+    change = F.coalesce(F.col("me") == F.col("chosen"), F.lit(False))
+    copies = F.col("whole") + (F.col("sampled") != change).cast("long")
     return d.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
                     (copies * F.col("size")).cast("long").alias("taken"))
 
