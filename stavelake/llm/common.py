@@ -12,6 +12,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus; Python gets few rows at a time, as single texts can be large."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
