@@ -211,6 +211,24 @@ def near_duplicates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def first_of_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Rows of ``docs`` without those that link, over any number of links, to one of smaller id.
+
+    Of rows repeated with one id, one stays. Rows without an id stay, as nothing tells them apart.
+    """
+    found = materialize(near_duplicates(docs, k, num, den), "near-duplicates")
+    # an id goes when no row of it heads its group
+    per_id = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("heads"), F.count(F.lit(1)).alias("rows"))
+    gone = per_id.filter("heads = 0").select(F.col("doc_id").alias("_gone"))
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = per_id.filter("heads = 1 AND rows > 1").select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
+    return single.unionAll(kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def prefixes(made: DataFrame, num: int, den: int) -> DataFrame:
     """(t, digest, n, held, l): the prefix tokens of each set, with the matches that it asks for."""
 

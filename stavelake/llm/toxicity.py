@@ -276,13 +276,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: F.Column, per_cl
     return train([(int(i), int(y), w.split()) for i, y, w in zip(found["doc_id"], found["y"], found["words"])], seed=seed)
 
 
-def apply_toxicity(docs: DataFrame, scorer: Scorer, words_at_once: int = 200_000) -> DataFrame:
-    """(doc_id, text, score) of every whole text, over all its windows."""
+def toxicity_of(scorer: Scorer, words_at_once: int = 200_000):
+    """A column function: the score of a whole text, over all its windows."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
             out, held, n = [], [], 0
-            for t in b["text"]:
+            for t in texts:
                 held.append(normal_words(t if isinstance(t, str) else ""))
                 n += len(held[-1])
                 if n >= words_at_once:
@@ -290,10 +291,9 @@ def apply_toxicity(docs: DataFrame, scorer: Scorer, words_at_once: int = 200_000
                     held, n = [], 0
             if held:
                 out.append(scorer.scores(held))
-            s = np.concatenate(out) if out else np.zeros(0)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": s.astype(np.float64)})
+            yield pd.Series(np.concatenate(out).astype(np.float64) if out else np.zeros(0))
 
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double")
+    return score
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
@@ -305,6 +305,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     none, all texts get the same score. Other columns are ignored.
     """
     scorer = fit_toxicity(docs, labels, crc_mod(F.col("doc_id"), folds) != held)
-    return apply_toxicity(docs, scorer).select(
+    return docs.select("doc_id", toxicity_of(scorer)("text").alias("score")).select(
         "doc_id", (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
