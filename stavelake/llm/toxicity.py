@@ -179,7 +179,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(worst, -30, 30)))
 
 
-def train(windows: list[tuple[int, int, list[str]]], n_vocab: int = 4_000, epochs: int = 5, batch: int = 128, seed: int = 3) -> Scorer:
+def train(windows: list[tuple[int, int, list[str]]], n_vocab: int = 4_000, epochs: int = 5, batch: int = 128, least_steps: int = 200, seed: int = 3) -> Scorer:
     """Fit on (text, label, words) windows of a bounded sample.
 
     The label belongs to a text, not to a window. A toxic text teaches with the window that
@@ -237,7 +237,8 @@ def train(windows: list[tuple[int, int, list[str]]], n_vocab: int = 4_000, epoch
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
     good, bad = np.flatnonzero(y == 0), np.flatnonzero(y == 1)
-    for epoch in range(epochs):
+    per_epoch = -(-(len(texts[0]) + 3 * len(texts[1])) // batch)
+    for epoch in range(max(epochs, -(-least_steps // per_epoch))):
         if epoch >= 2:
             x = net.inputs(ids, pairs, starts)
             worst_by = np.concatenate([net.forward(x, at[k : k + 2048], mask[k : k + 2048]) for k in range(0, len(at), 2048)])
