@@ -35,7 +35,6 @@ def interval_pairs(
     right_range: tuple[str, str],
     *,
     cell: float = 256,
-    how: str = "inner",
 ) -> DataFrame:
     """Inner join of rows whose closed ranges intersect; every pair appears once.
 
@@ -52,7 +51,7 @@ def interval_pairs(
     ) & (F.greatest(cell_of(F.col(la), cell), cell_of(F.col(ra), cell)) == F.col("_cell"))
     for k in on:
         cond = cond & (F.col(k) == F.col(f"_r_{k}"))
-    return l.join(r, cond, how).drop("_cell", "_cell_r", *(f"_r_{k}" for k in on))
+    return l.join(r, cond).drop("_cell", "_cell_r", *(f"_r_{k}" for k in on))
 
 
 def expanded(df: DataFrame, prefix: str, src: g.Box | None = None, **pad) -> DataFrame:
@@ -77,6 +76,8 @@ def iou_cover(df: DataFrame, prefix: str, cell: int, threshold: float) -> DataFr
     For IoU ≥ 0.5 the partner's centre lies inside the box on both axes; below that
     it can be off by at most extent / (2·threshold).
     """
+    if threshold <= 0:
+        raise ValueError("an overlap threshold of 0 or less bounds no partner")
     b = g.box(prefix)
     k = 0.0 if threshold >= 0.5 else 1.0 / (2.0 * threshold)
     mx, my = g.width(b) * F.lit(k), g.height(b) * F.lit(k)

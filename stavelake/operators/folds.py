@@ -186,6 +186,8 @@ def nms(
     item = F.struct((-F.col("score")).alias("ns"), F.col(id_col).alias("id"), *g.BOX,
                     *(f"e_{n}" for n in g.BOX), "reach")
     arr = s.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list(item)).alias("a"))
+    # rows are told apart by their place in the fold: ids may repeat
+    arr = arr.withColumn("a", F.transform("a", lambda v, i: v.withField("k", i)))
     pe = lambda v: g.Box(*(v[f"e_{n}"] for n in g.BOX))
 
     def hits(k, v):
@@ -198,11 +200,12 @@ def nms(
         lambda acc, v: F.when(F.exists(acc, lambda k: hits(k, v)), acc).otherwise(
             F.concat(acc, F.array(v))),
     )
-    ids = arr.select(*keys, "a", F.transform(kept, lambda k: k["id"]).alias("ids"))
-    return ids.select(*keys, F.explode("a").alias("v"), "ids").select(
-        *keys, F.col("v.id").alias(id_col), *(F.col(f"v.{n}").alias(n) for n in g.BOX),
-        F.array_contains("ids", F.col("v.id")).alias("kept"),
-        F.when(F.array_contains("ids", F.col("v.id")), -F.col("v.ns")).otherwise(F.lit(0.0)).alias("score"),
+    won = arr.select(*keys, "a", F.transform(kept, lambda k: k["k"]).alias("won"))
+    return won.select(*keys, F.explode("a").alias("v"), "won").select(
+        *keys, "v", F.array_contains("won", F.col("v.k")).alias("kept")
+    ).select(
+        *keys, F.col("v.id").alias(id_col), *(F.col(f"v.{n}").alias(n) for n in g.BOX), "kept",
+        F.when(F.col("kept"), -F.col("v.ns")).otherwise(F.lit(0.0)).alias("score"),
     )
 
 

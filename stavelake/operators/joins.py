@@ -375,7 +375,7 @@ def assign_to_bands(boxes: DataFrame, bands: DataFrame, keys: Sequence[str] = KE
     bands), so a box never multiplies.
     """
     arr = bands.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("band_idx", "b1", "b2"))).alias("bands")
+        F.array_sort(F.collect_set(F.struct("band_idx", "b1", "b2"))).alias("bands")
     )
     cy = g.center_y(g.box())
     rank = lambda b: F.struct(
@@ -430,21 +430,23 @@ def skip_near(
 
 
 def staff_strokes(
-    boxes: DataFrame, staff: DataFrame, *, id_col: str = "det_id", keys: Sequence[str] = KEYS
+    boxes: DataFrame, staff: DataFrame, *, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Split boxes at staves only when at least two staves overlap by ≥ 2 units.
 
-    Otherwise the box stays whole with staff −1.  Left rows are grouped by their own
-    id, so the fan-out per box is the number of staves it crosses.
+    Otherwise the box stays whole with staff −1.  Boxes are told apart by place, not by
+    id; the fan-out per box is the number of staves it crosses.
     """
     s = staff.select(
         *keys, F.col("pos").alias("staff"), F.col("y1").alias("sy1"), F.col("y2").alias("sy2"),
         g.staff_unit(F.col("unit_size"), g.box()).alias("unit"),
     )
+    # the staves of a box depend on its page and height alone, so copies are looked up once
     b = g.box()
-    hits = bl.interval_pairs(boxes, s, keys, ("y1", "y2"), ("sy1", "sy2")).where(
+    spans = boxes.select(*keys, "y1", "y2").distinct()
+    hits = bl.interval_pairs(spans, s, keys, ("y1", "y2"), ("sy1", "sy2")).where(
         g.span_overlap(b.y1, b.y2, F.col("sy1"), F.col("sy2")) >= 2 * F.col("unit")
-    ).groupBy(id_col).agg(F.collect_list(F.struct("staff", "sy1", "sy2")).alias("hits"))
+    ).groupBy(*keys, "y1", "y2").agg(F.collect_list(F.struct("staff", "sy1", "sy2")).alias("hits"))
     whole = F.array(F.struct(F.lit(-1).alias("staff"), F.col("y1"), F.col("y2")))
     cut = F.transform(
         "hits",
@@ -455,14 +457,13 @@ def staff_strokes(
         ),
     )
     rest = [c for c in boxes.columns if c not in ("y1", "y2")]
-    return boxes.join(hits, id_col, "left").select(
+    return boxes.join(hits, [*keys, "y1", "y2"], "left").select(
         *rest, F.explode(F.when(F.size("hits") >= 2, cut).otherwise(whole)).alias("s")
     ).select(*rest, "s.*")
 
 
 def staff_overlap_filter(
-    cands: DataFrame, bands: DataFrame, *, threshold: float = 0.5, id_col: str = "det_id",
-    keys: Sequence[str] = KEYS,
+    cands: DataFrame, bands: DataFrame, *, threshold: float = 0.5, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Keep candidates overlapping some band by ≥ ``threshold`` of their own height.
 
@@ -470,10 +471,11 @@ def staff_overlap_filter(
     """
     bnd = bands.select(*keys, "b1", "b2").distinct()
     has = bnd.select(*keys).distinct()
+    at = [*keys, *g.BOX]
     covered = bl.interval_pairs(
-        cands, bnd, keys, ("y1", "y2"), ("b1", "b2")
-    ).where(g.candidate_overlap(g.box(), F.col("b1"), F.col("b2")) >= threshold).select(id_col)
-    on_banded = cands.join(has, list(keys), "left_semi").join(covered, id_col, "left_semi")
+        cands.select(*at).distinct(), bnd, keys, ("y1", "y2"), ("b1", "b2")
+    ).where(g.candidate_overlap(g.box(), F.col("b1"), F.col("b2")) >= threshold).select(*at)
+    on_banded = cands.join(has, list(keys), "left_semi").join(covered, at, "left_semi")
     if threshold <= 0:
         on_banded = cands.join(has, list(keys), "left_semi")
     return on_banded.unionByName(cands.join(has, list(keys), "left_anti"))

@@ -70,17 +70,24 @@ def _(c):
 # ---- the same results from a stream --------------------------------------------------
 
 
-def _stream(c, name):
-    """Events written once to the shared folder and read back as a stream."""
+def _stream(c, name, files=3):
+    """Events written to the shared folder in order of time and read back one file per micro-batch."""
     import uuid
 
     from ..session import shared_dir
     from ..streaming import progress as st
 
     root = f"{shared_dir(c.spark, 'streams')}/{name}-{uuid.uuid4().hex}"
-    progress(c).select("job_id", "event_id", "us", "sequence", "kind", "stage_id", "completed_units",
-                       "total_units").write.parquet(f"{root}/in")
-    return st, st.read_events(c.spark, f"{root}/in"), root
+    rows = progress(c).select("job_id", "event_id", "us", "sequence", "kind", "stage_id", "completed_units", "total_units")
+    edges = rows.approxQuantile("us", [k / files for k in range(1, files)], 0.01) or [0.0] * (files - 1)
+    for k in range(files):  # the source takes files in the order in which they were written
+        part = rows
+        if k:
+            part = part.where(rows["us"] > edges[k - 1])
+        if k < files - 1:
+            part = part.where(rows["us"] <= edges[k])
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return st, st.read_events(c.spark, f"{root}/in", files_per_trigger=1), root
 
 
 def _collect(c, st, stream, root, schema, mode="append"):
@@ -102,11 +109,12 @@ SELECT job_id,stage_id,sequence,completed_units,total_units FROM (SELECT *, row_
 def _(c):
     st, events, root = _stream(c, "latest")
     out = _collect(c, st, st.latest_progress(events), root,
-                   "job_id bigint, stage_id string, sequence bigint, completed_units int, total_units int", "update")
-    # update mode may emit a key more than once: its last state has the highest sequence
+                   "job_id bigint, stage_id string, at struct<sequence: bigint, event_id: bigint>, sequence bigint, "
+                   "completed_units int, total_units int", "update")
+    # update mode may emit a key more than once: its last state has the latest event
     return out.groupBy("job_id", "stage_id").agg(
-        F.max("sequence").alias("sequence"), F.max_by("completed_units", "sequence").alias("completed_units"),
-        F.max_by("total_units", "sequence").alias("total_units"))
+        F.max("sequence").alias("sequence"), F.max_by("completed_units", "at").alias("completed_units"),
+        F.max_by("total_units", "at").alias("total_units"))
 
 
 @register("streamed_current_overrides", duck("""

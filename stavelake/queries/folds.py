@@ -17,20 +17,34 @@ _SIG = f"""SELECT {PG},band_idx,CAST(col%400 AS INT) x,max(CAST(floor(ratio*100+
  20 d1,380 d2 FROM {{f_scan_record}} GROUP BY {PG},band_idx,CAST(col%400 AS INT)"""
 
 
-@register("signal_peaks", duck(f"""
+def _peaks_sql(cap: int) -> str:
+    return duck(f"""
 SELECT * FROM (WITH RECURSIVE n AS (SELECT *, coalesce(lag(ratio) OVER w,last_value(ratio) OVER e) l, coalesce(lead(ratio) OVER w,first_value(ratio) OVER e) r
   FROM {{sig_}} WINDOW w AS (PARTITION BY {PG},band_idx ORDER BY x), e AS (PARTITION BY {PG},band_idx ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
  p AS (SELECT *, row_number() OVER (PARTITION BY {PG},band_idx ORDER BY ratio DESC,x) rn, count(*) OVER (PARTITION BY {PG},band_idx) np
   FROM n WHERE ratio>=0.3 AND ratio>=l AND ratio>=r AND x BETWEEN d1 AND d2),
  f AS (SELECT {PG},band_idx,rn,np,x,ratio,[x] kept,true keep FROM p WHERE rn=1 UNION ALL
   SELECT p.score_id,p.page_index,p.band_idx,p.rn,p.np,p.x,p.ratio,
-   CASE WHEN len(f.kept)<4 AND len(list_filter(f.kept,lambda k: abs(k-p.x)<25))=0 THEN list_append(f.kept,p.x) ELSE f.kept END,
-   len(f.kept)<4 AND len(list_filter(f.kept,lambda k: abs(k-p.x)<25))=0
+   CASE WHEN len(f.kept)<{cap} AND len(list_filter(f.kept,lambda k: abs(k-p.x)<25))=0 THEN list_append(f.kept,p.x) ELSE f.kept END,
+   len(f.kept)<{cap} AND len(list_filter(f.kept,lambda k: abs(k-p.x)<25))=0
   FROM f JOIN p ON p.score_id=f.score_id AND p.page_index=f.page_index AND p.band_idx=f.band_idx AND p.rn=f.rn+1)
-SELECT {PG},band_idx,np AS n_peaks,CAST(len(kept)-1 AS INT) AS rank,x,ratio FROM f WHERE keep)""", {"sig_": _SIG}))
+SELECT {PG},band_idx,np AS n_peaks,CAST(len(kept)-1 AS INT) AS rank,x,ratio FROM f WHERE keep)""", {"sig_": _SIG})
+
+
+def _peaks(c, cap: int = 0):
+    return folds.nearest_first_peaks(c.sql(_SIG), min_ratio=0.3, min_distance=25, max_peaks=cap, keys=[*KEYS, "band_idx"])
+
+
+@register("signal_peaks", _peaks_sql(1 << 30))
+def _(c):
+    """Every peak of a band, strongest first and spaced."""
+    return _peaks(c)
+
+
+@register("signal_peaks_top", _peaks_sql(80))
 def _(c):
-    return folds.nearest_first_peaks(
-        c.sql(_SIG), min_ratio=0.3, min_distance=25, max_peaks=4, keys=[*KEYS, "band_idx"])
+    """The generation pass's 80 strongest peaks of a band; ``n_peaks`` tells how many stood to choose from."""
+    return _peaks(c, 80)
 
 
 _RUNS = f"""SELECT DISTINCT {PG},x1+CAST(det_id%4 AS INT) x,y1+CAST(det_id%3 AS INT)*3 y1,y2+CAST(det_id%5 AS INT) y2 FROM {{f_barline}}

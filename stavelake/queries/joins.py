@@ -159,10 +159,10 @@ def _(c):
 
 
 @register("bars_assigned_to_bands", duck(f"""
-SELECT det_id,band_idx FROM (SELECT a.det_id,b.band_idx,row_number() OVER (PARTITION BY a.det_id ORDER BY
+SELECT det_id,band_idx FROM (SELECT a.det_id,b.band_idx,row_number() OVER (PARTITION BY a.rid ORDER BY
  CASE WHEN (a.y1+a.y2)/2e0+a.det_id%90-45 BETWEEN b.b1 AND b.b2 THEN 0 ELSE 1 END,
  CASE WHEN (a.y1+a.y2)/2e0+a.det_id%90-45 BETWEEN b.b1 AND b.b2 THEN 0e0 ELSE least(abs((a.y1+a.y2)/2e0+a.det_id%90-45-b.b1),abs((a.y1+a.y2)/2e0+a.det_id%90-45-b.b2)) END, b.band_idx) rn
- FROM {{f_barline}} a JOIN {{d_band}} b ON {ON}) WHERE rn=1""", EXP))
+ FROM (SELECT *, row_number() OVER () rid FROM {{f_barline}}) a JOIN {{d_band}} b ON {ON}) WHERE rn=1""", EXP))
 def _(c):
     shift = (F.col("det_id") % 90 - 45).cast("int")
     b = c["f_barline"].withColumns({"y1": F.col("y1") + shift, "y2": F.col("y2") + shift})

@@ -107,10 +107,13 @@ def stage_spans(events: DataFrame, *, timeout_ms: int = 3_600_000) -> DataFrame:
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
-    """Highest sequence with its units per job and stage (update mode, native aggregate)."""
+    """Highest sequence with its units per job and stage (update mode, native aggregate).
+
+    ``at`` is the (sequence, event_id) that decided, so later states of a key can be told apart.
+    """
     at = F.struct("sequence", "event_id")
     return events.groupBy("job_id", "stage_id").agg(
-        F.max("sequence").alias("sequence"), F.max_by("completed_units", at).alias("completed_units"),
+        F.max(at).alias("at"), F.max("sequence").alias("sequence"), F.max_by("completed_units", at).alias("completed_units"),
         F.max_by("total_units", at).alias("total_units"))
 
 
@@ -160,16 +163,23 @@ class OverrideTable:
 
 
 class CountingSink:
-    """``foreachBatch`` target that counts sink errors instead of failing the stream."""
+    """``foreachBatch`` target that counts failed writes and keeps their rows.
+
+    A batch that cannot be written goes to ``dead_letter``; without one, or when that fails
+    too, the error stops the stream, so the batch is not committed and comes again.
+    """
 
-    def __init__(self, write: Callable[[DataFrame, int], None]):
-        self.write, self.errors = write, 0
+    def __init__(self, write: Callable[[DataFrame, int], None], dead_letter: Callable[[DataFrame, int], None] | None = None):
+        self.write, self.dead_letter, self.errors = write, dead_letter, 0
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         try:
             self.write(batch, batch_id)
-        except Exception:  # noqa: BLE001  a progress sink must never stop the engine
+        except Exception:
             self.errors += 1
+            if self.dead_letter is None:
+                raise
+            self.dead_letter(batch, batch_id)
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:

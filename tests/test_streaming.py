@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from stavelake.fixtures import Corpus
 from stavelake.operators import rollups, validate
 from stavelake.queries.events import progress
@@ -57,9 +59,12 @@ def test_sink_errors_are_counted(spark, sf_dir, tmp_path):
     def broken(df, i):
         raise RuntimeError("sink down")
 
-    sink = st.CountingSink(broken)
+    kept = []
+    sink = st.CountingSink(broken, lambda df, i: kept.extend(df.collect()))
     st.run_available(s, sink, f"{tmp_path}/cp")
-    assert sink.errors >= 1
+    assert sink.errors >= 1 and len(kept) > 0  # the rows of a failed batch are somewhere
+    with pytest.raises(Exception, match="sink down"):
+        st.run_available(feed(spark, sf_dir, tmp_path, 2)[1], st.CountingSink(broken), f"{tmp_path}/cp2")
 
 
 def test_quarantine(spark):
