@@ -18,7 +18,11 @@ TABLES = (
 
 _PAGE_O = "CAST(floor(o_orderkey/128) AS INT) score_id, CAST(floor(o_orderkey/8) AS INT)%16 page_index"
 _PAGE_L = "CAST(floor(l_orderkey/128) AS INT) score_id, CAST(floor(l_orderkey/8) AS INT)%16 page_index"
-_LID = "l_orderkey*10000000000+l_partkey*100000+l_suppkey*10+l_linenumber"
+# an id from the whole row: order, line and quantity stay apart, parts and suppliers by a remainder; 64 bits last to sf 10,000
+_LID = (
+    "((l_orderkey*8+l_linenumber)*64+CAST(floor(l_quantity) AS BIGINT))*99991"
+    "+(l_partkey*31+l_suppkey)%99991"
+)
 _YOFF = (
     "(o_orderkey%8)*80+CAST(floor((o_orderkey%8+1)/3) AS INT)*100"
     "+CASE WHEN o_custkey%7=0 THEN 21 ELSE 0 END"
@@ -36,11 +40,10 @@ SELECT {_PAGE_L}, {_LID} det_id,
  CAST(l_linenumber*150-55+(l_partkey%5)*7+2+l_suppkey%9 AS INT) x2, s.y2-CAST(l_suppkey%3 AS INT) y2,
  l_discount*10 score
 FROM {{lineitem}} JOIN {{f_staff}} s ON s.score_id=CAST(floor(l_orderkey/128) AS INT)
- AND s.page_index=CAST(floor(l_orderkey/8) AS INT)%16 AND s.staff_index=l_orderkey%8
-WHERE l_orderkey%17<>3""",
+ AND s.page_index=CAST(floor(l_orderkey/8) AS INT)%16 AND s.staff_index=l_orderkey%8""",
     "f_connector": f"""
 SELECT {_PAGE_O}, CAST(o_orderkey%8 AS INT) staff_index, o_custkey%4<3 present
-FROM {{orders}} WHERE o_orderkey%8>0 AND o_custkey%5<>0""",
+FROM {{orders}}""",
     "f_detection": """
 SELECT score_id,page_index,'baseline' source,det_id,x1,y1,x2,y2 FROM {f_barline}
 UNION ALL SELECT b.score_id,b.page_index,'sr',det_id,b.x1+CAST(det_id%4 AS INT)*3,b.y1,
@@ -58,23 +61,23 @@ SELECT {_PAGE_L}, CAST(l_partkey%4 AS INT) system, CAST(l_linenumber-1 AS INT) m
  CAST(floor(l_quantity) AS INT)%7 skip,
  CASE WHEN l_suppkey%29=0 THEN CAST(l_partkey%300 AS INT) END set_number,
  l_returnflag='N' force_measure
-FROM {{lineitem}} WHERE l_partkey%9=0""",
+FROM {{lineitem}}""",
     "f_bar_override": """
 SELECT score_id,page_index,det_id ord,CASE WHEN det_id%2=0 THEN 'remove' ELSE 'add' END op,
  x1+CAST(det_id%3 AS INT)-1 x1,y1,x2+CAST(det_id%3 AS INT)-1 x2,y2
-FROM {f_barline} WHERE det_id%13=0""",
+FROM {f_barline}""",
     "f_boundary": f"""
 SELECT {_PAGE_O}, CAST(o_orderkey%8 AS INT) system, 1 reset_number, 'manual' source
-FROM {{orders}} WHERE o_orderpriority='1-URGENT' AND o_orderkey%8<4 AND o_custkey%6=0""",
+FROM {{orders}} WHERE o_orderpriority='1-URGENT'""",
     "f_evidence": f"""
 SELECT {_PAGE_O}, CAST(o_orderkey%8 AS INT) system,
- CASE o_orderstatus WHEN 'F' THEN 'ambiguous_review_required' WHEN 'O' THEN 'no_boundary'
-      ELSE 'confirmed_automatic' END state
-FROM {{orders}} WHERE o_custkey%10=0""",
+ CASE WHEN o_orderstatus='F' THEN 'ambiguous_review_required'
+      WHEN o_orderstatus='O' AND o_orderpriority='5-LOW' THEN 'no_boundary' ELSE 'confirmed_automatic' END state
+FROM {{orders}}""",
     "f_review": f"""
 SELECT {_PAGE_O}, CAST(o_orderkey%8 AS INT) system,
- CASE WHEN o_custkey%20=0 THEN 'boundary' ELSE 'no_boundary' END op
-FROM {{orders}} WHERE o_custkey%10=0 AND o_orderkey%3<>0""",
+ CASE WHEN o_orderpriority='1-URGENT' THEN 'boundary' ELSE 'no_boundary' END op
+FROM {{orders}} WHERE o_orderpriority IN ('1-URGENT','2-HIGH')""",
     "f_scan_record": f"""
 SELECT {_PAGE_L}, CAST(l_orderkey%8 AS INT) band_idx, {_LID} rec_id,
  CAST(70+l_linenumber*150+l_partkey%90 AS INT) col,
@@ -114,7 +117,7 @@ FROM {f_staff} GROUP BY score_id, page_index""",
     "f_extra_bar": """
 SELECT score_id,page_index,det_id ord,x1+CAST(det_id%9 AS INT)-4 x1,y1+CAST(det_id%41 AS INT)-20 y1,
  x2+CAST(det_id%9 AS INT)-4 x2,y2+CAST(det_id%37 AS INT)-9 y2
-FROM {f_barline} WHERE det_id%7=2""",
+FROM {f_barline}""",
     # OCR probability per measure (mean over its detections)
     "f_measure_prob": f"""
 SELECT {_PAGE_L}, CAST(l_partkey%4 AS INT) system, CAST(l_linenumber-1 AS INT) measure,

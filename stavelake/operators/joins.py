@@ -302,18 +302,15 @@ def remap_measures(
     )
     cand = new.select(*keys, "system", F.col("measure").alias("new_measure"),
                       *(F.col(c).alias(f"n_{c}") for c in g.BOX))
-    scored = (
-        src.where("o_x1 IS NOT NULL")
-        .join(cand, [*keys, "system"])
-        .withColumn("score", g.min_area_overlap(g.box("o_"), g.box("n_")))
-        .where("score > 0")
-    )
-    top = scored.groupBy(*ids).agg(
-        F.max(F.struct("score", "new_measure")).alias("best"),
-        # second best by the same order: at most a handful of measures overlap one box
-        F.sort_array(F.collect_list(F.struct("score", "new_measure")), False).alias("r"),
-    )
-    second = F.get(F.col("r"), 1)["score"]
+    # boxes overlap only where their columns do, so a system is never paired with all of itself
+    old_boxes = src.where("o_x1 IS NOT NULL")
+    scored = bl.interval_pairs(old_boxes, cand, [*keys, "system"], ("o_x1", "o_x2"), ("n_x1", "n_x2")).withColumn(
+        "score", g.min_area_overlap(g.box("o_"), g.box("n_"))).where("score > 0")
+    at = F.struct("score", "new_measure")
+    best = scored.groupBy(*ids).agg(F.max(at).alias("best"))
+    top = scored.join(best, ids).groupBy(*ids).agg(
+        F.first("best").alias("best"), F.max(F.when(at != F.col("best"), at)).alias("r"))
+    second = F.col("r.score")
     ambiguous = second.isNotNull() & (second >= 0.8) & (second >= F.col("best.score") * 0.95)
     systems = cand.select(*keys, "system").distinct().withColumn("has_system", F.lit(True))
     out = src.join(top, ids, "left").join(systems, [*keys, "system"], "left")
