@@ -261,14 +261,8 @@ def merge_extra(
 LOOKALIKE = r"^[\dIl|!i\]\[]$"
 
 
-def merge_ocr_tokens(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left-to-right merge of neighbouring digit tokens of one OCR crop.
-
-    Both texts must be digits, vertically aligned, of similar height and close; single
-    look-alike glyphs may be further apart.  Needs ``ord`` as stable order.  Only runs of
-    consecutive digit tokens without a certain horizontal gap are folded together.
-    Adds ``n_merged``; rows with ``n_merged`` > 1 are merged results.
-    """
+def _folded_tokens(tokens: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Islands of tokens as arrays: ``a`` as they are, ``m`` merged; ``carry`` columns go with each token."""
     w = Window.partitionBy(*keys).orderBy("x1", "ord")
     digit = F.col("text").rlike(r"^\d+$")
     reach = F.max("x2").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -278,7 +272,7 @@ def merge_ocr_tokens(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     t = _islands(tokens.withColumn("_k", F.coalesce(brk, F.lit(False))), keys, ["x1", "ord"],
                  F.col("_k"))
-    item = F.struct("x1", "ord", "y1", "x2", "y2", "text", "confidence", F.lit(1).alias("n_merged"))
+    item = F.struct("x1", "ord", "y1", "x2", "y2", "text", "confidence", F.lit(1).alias("n_merged"), *carry)
     arr = t.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list(item)).alias("a"))
 
     def joins(c, n):
@@ -302,21 +296,31 @@ def merge_ocr_tokens(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.least(c["y1"], n["y1"]).alias("y1"), F.greatest(c["x2"], n["x2"]).alias("x2"),
             F.greatest(c["y2"], n["y2"]).alias("y2"), F.concat(c["text"], n["text"]).alias("text"),
             ((c["confidence"] + n["confidence"]) / 2.0).alias("confidence"),
-            (c["n_merged"] + n["n_merged"]).alias("n_merged"))
+            (c["n_merged"] + n["n_merged"]).alias("n_merged"), *(c[k].alias(k) for k in carry))
         return F.when(
             F.coalesce(joins(c, n), F.lit(False)),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both)),
         ).otherwise(F.concat(acc, F.array(n)))
 
     merged = F.aggregate(F.slice("a", 2, F.size("a")), F.slice("a", 1, 1), step)
-    return arr.select(*keys, F.explode(merged).alias("v")).select(
+    return arr.select(*keys, "a", merged.alias("m"))
+
+def merge_ocr_tokens(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left-to-right merge of neighbouring digit tokens of one OCR crop.
+
+    Both texts must be digits, vertically aligned, of similar height and close; single
+    look-alike glyphs may be further apart.  Needs ``ord`` as stable order.  Only runs of
+    consecutive digit tokens without a certain horizontal gap are folded together.
+    Adds ``n_merged``; rows with ``n_merged`` > 1 are merged results.
+    """
+    return _folded_tokens(tokens, keys).select(*keys, F.explode("m").alias("v")).select(
         *keys, *(F.col(f"v.{n}").alias(n) for n in
                  ("ord", "x1", "y1", "x2", "y2", "text", "confidence", "n_merged")))
 
 
-def candidate_tokens(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Raw tokens plus merged results, tagged ``raw`` / ``merged``."""
-    cols = [*keys, "ord", "x1", "y1", "x2", "y2", "text", "confidence"]
-    merged = merge_ocr_tokens(tokens, keys).where("n_merged > 1")
-    return tokens.select(*cols, F.lit("raw").alias("source")).unionByName(
-        merged.select(*cols, F.lit("merged").alias("source")))
+def candidate_tokens(tokens: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Raw tokens plus merged results, tagged ``raw`` / ``merged``; both come from one pass over the tokens."""
+    cols = ["ord", "x1", "y1", "x2", "y2", "text", "confidence", *carry]
+    tag = lambda name: lambda v: F.struct(*(v[c].alias(c) for c in cols), F.lit(name).alias("source"))
+    both = F.concat(F.transform("a", tag("raw")), F.transform(F.filter("m", lambda v: v["n_merged"] > 1), tag("merged")))
+    return _folded_tokens(tokens, keys, carry).select(*keys, F.explode(both).alias("v")).select(*keys, "v.*")

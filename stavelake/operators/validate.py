@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import materialize
 from . import scan
 from .blocking import pin
 
@@ -92,6 +93,7 @@ def check_corrections(sets: DataFrame) -> DataFrame:
                record=F.col("record"))
     rows = sets.select("correction_set_id", "ord", correction_violation(F.col("record")).alias("violation"),
                        F.try_variant_get("record", "$.correction_id", "string").alias("cid"))
+    rows = materialize(rows, "correction-checks")  # records are parsed once for both uses
     dup = rows.where("cid IS NOT NULL").groupBy("correction_set_id", "cid").agg(
         F.count("*").alias("n"), F.max("ord").alias("ord")).where("n > 1").select(
         "correction_set_id", "ord", F.lit("duplicate_correction_id").alias("violation"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -27,8 +27,9 @@ JITTER_SCORE = 5.0
 
 def number_candidates(tokens: DataFrame, keys: Sequence[str], img_w: str, img_h: str) -> DataFrame:
     """Every number of every raw or merged token with its spatial score."""
-    size = tokens.groupBy(*keys).agg(F.max(img_w).alias("_w"), F.max(img_h).alias("_h"))
-    t = folds.candidate_tokens(tokens, keys).join(size, list(keys))
+    crop = Window.partitionBy(*keys)
+    sized = tokens.select("*", F.max(img_w).over(crop).alias("_w"), F.max(img_h).over(crop).alias("_h"))
+    t = folds.candidate_tokens(sized, keys, ("_w", "_h"))
     t = t.select("*", F.posexplode(tx.numbers_in(F.col("text"))).alias("pos", "digits"))
     t = t.withColumn("value", F.col("digits").try_cast("int"))
     s = tx.number_score(F.col("value"), F.col("digits"), F.col("text"), g.box(), F.col("_w"), F.col("_h"))

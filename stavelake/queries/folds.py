@@ -48,7 +48,7 @@ def _(c):
 
 
 _RUNS = f"""SELECT DISTINCT {PG},x1+CAST(det_id%4 AS INT) x,y1+CAST(det_id%3 AS INT)*3 y1,y2+CAST(det_id%5 AS INT) y2 FROM {{f_barline}}
- UNION SELECT {PG},x1+1+CAST(det_id%3 AS INT),y1+CAST(det_id%2 AS INT),y2+1 FROM {{f_barline}} WHERE det_id%2=0"""
+ UNION SELECT {PG},x1+1+CAST(det_id%3 AS INT),y1+CAST(det_id%2 AS INT),y2+1 FROM {{f_barline}}"""
 
 
 @register("merged_vertical_runs", duck(f"""
@@ -66,7 +66,7 @@ def _(c):
 
 # strokes: every detection with a near or exact copy
 _ST = f"""SELECT {PG},x1,y1,x2,y2,CAST(det_id%97 AS DOUBLE)/CAST(100 AS DOUBLE) score,CAST(10 AS DOUBLE) unit FROM {{f_barline}} UNION ALL
- SELECT {PG},x1+CAST(det_id%3 AS INT),y1+CAST(det_id%4 AS INT)*2,x2+CAST(det_id%2 AS INT),y2,CAST(det_id%89 AS DOUBLE)/CAST(100 AS DOUBLE),CAST(10 AS DOUBLE) FROM {{f_barline}} WHERE det_id%5<3"""
+ SELECT {PG},x1+CAST(det_id%3 AS INT),y1+CAST(det_id%4 AS INT)*2,x2+CAST(det_id%2 AS INT),y2,CAST(det_id%89 AS DOUBLE)/CAST(100 AS DOUBLE),CAST(10 AS DOUBLE) FROM {{f_barline}}"""
 
 
 @register("deduplicated_strokes", duck(f"""
@@ -86,7 +86,7 @@ def _(c):
 
 
 _SC = f"""SELECT {PG},det_id*2 det_id,x1,y1,x2,y2,CAST(det_id%101 AS DOUBLE)/CAST(100 AS DOUBLE) score FROM {{f_barline}} UNION ALL
- SELECT {PG},det_id*2+1,x1+CAST(det_id%7 AS INT)*2,y1+CAST(det_id%4 AS INT)*6,x2+CAST(det_id%6 AS INT)*2,y2+5,CAST(det_id%83 AS DOUBLE)/CAST(90 AS DOUBLE) FROM {{f_barline}} WHERE det_id%5<3"""
+ SELECT {PG},det_id*2+1,x1+CAST(det_id%7 AS INT)*2,y1+CAST(det_id%4 AS INT)*6,x2+CAST(det_id%6 AS INT)*2,y2+5,CAST(det_id%83 AS DOUBLE)/CAST(90 AS DOUBLE) FROM {{f_barline}}"""
 
 
 @register("suppressed_detections", duck(f"""
@@ -122,8 +122,8 @@ CROP = ["score_id", "page_index", "system", "measure", "staff", "view_name"]
 _CK = ",".join(CROP)
 # several glyph boxes per crop: digits of one number side by side
 OCR = f"""SELECT {_CK},ord*3 ord,x1,y1,x2,y2,CASE WHEN ord%3=0 THEN CAST(ord%10 AS VARCHAR(9)) ELSE text END text,confidence FROM {{f_ocr_token}}
-UNION ALL SELECT {_CK},ord*3+1,x2+CAST(ord%23 AS INT)-3,y1+CAST(ord%7 AS INT),x2+CAST(ord%23 AS INT)+9,y2+CAST(ord%5 AS INT),CAST(ord%12 AS VARCHAR(9)),confidence-0.05 FROM {{f_ocr_token}} WHERE ord%2=0
-UNION ALL SELECT {_CK},ord*3+2,x2+12+CAST(ord%31 AS INT),y1+1,x2+24+CAST(ord%31 AS INT),y2+1,CAST(ord%7 AS VARCHAR(9)),confidence-0.01 FROM {{f_ocr_token}} WHERE ord%4=1"""
+UNION ALL SELECT {_CK},ord*3+1,x2+CAST(ord%23 AS INT)-3,y1+CAST(ord%7 AS INT),x2+CAST(ord%23 AS INT)+9,y2+CAST(ord%5 AS INT),CAST(ord%12 AS VARCHAR(9)),confidence-0.05 FROM {{f_ocr_token}}
+UNION ALL SELECT {_CK},ord*3+2,x2+12+CAST(ord%31 AS INT),y1+1,x2+24+CAST(ord%31 AS INT),y2+1,CAST(ord%7 AS VARCHAR(9)),confidence-0.01 FROM {{f_ocr_token}}"""
 
 _JOIN = """(abs((cy1+cy2)/2e0-(ny1+ny2)/2e0)<mh*0.5 AND nx1-cx2<CASE WHEN sp AND abs((cy1+cy2)/2e0-(ny1+ny2)/2e0)<mh*0.2 THEN mh*1.5
  WHEN sp THEN mh*0.8 ELSE mh*0.3 END AND abs(ch-nh)/CAST(greatest(ch,nh) AS DOUBLE)<CASE WHEN sp THEN 0.4 ELSE 0.25 END AND regexp_full_match(concat(ct,nt),'\\d+'))"""

@@ -60,8 +60,8 @@ def _(c):
         *KEYS, "band_idx", "rec_id", "col")
 
 
-_DBL = f"""SELECT {PG},det_id,x1,y1,x2,y2 FROM {{f_barline}} WHERE det_id%2=0 UNION ALL
- SELECT {PG},det_id,x2+CAST(det_id%5 AS INT)*2,y1+CAST(det_id%9 AS INT)*2,x2+CAST(det_id%5 AS INT)*2+3,y2 FROM {{f_barline}} WHERE det_id%3=0"""
+_DBL = f"""SELECT {PG},det_id,x1,y1,x2,y2 FROM {{f_barline}} UNION ALL
+ SELECT {PG},det_id,x2+CAST(det_id%5 AS INT)*2,y1+CAST(det_id%9 AS INT)*2,x2+CAST(det_id%5 AS INT)*2+3,y2 FROM {{f_barline}}"""
 @register("double_bars", duck(f"""
 SELECT * FROM (WITH dd AS (SELECT DISTINCT {PG},x1,y1,x2,y2 FROM {{dbl_}} WHERE x2-x1<=6 AND y2-y1>=18),
  p AS (SELECT a.score_id,a.page_index,a.x1 ax1,a.y1 ay1,a.x2 ax2,a.y2 ay2,b.x1 bx1,b.y1 by1,b.x2 bx2,b.y2 by2 FROM dd a JOIN dd b

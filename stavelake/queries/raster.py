@@ -15,7 +15,7 @@ DARK = 118
 IMG_W, IMG_H = 64, 50
 
 # small boxes on the raster pages
-_RB = """SELECT CAST(l_suppkey%10 AS INT) page_id,CAST(l_partkey%58 AS INT) x1,CAST(l_orderkey%25 AS INT) y1,
+_RB = """SELECT CAST(l_suppkey%(SELECT greatest(1,CAST(floor(count(*)/50) AS BIGINT)) FROM {embeddings}) AS INT) page_id,CAST(l_partkey%58 AS INT) x1,CAST(l_orderkey%25 AS INT) y1,
  CAST(l_partkey%58+1+l_linenumber%5 AS INT) x2,CAST(l_orderkey%25+15+CAST(floor(l_quantity) AS INT)%12 AS INT) y2 FROM {lineitem}"""
 BX = "page_id,x1,y1,x2,y2"
 R = {
@@ -344,7 +344,7 @@ def _(c):
     return raster.mask_right_end(_row_groups(c), head_mask(c))
 
 
-_EB = """SELECT page_id,CAST(floor(y1/12) AS INT) row_id,x1+CASE WHEN y1%3=0 THEN 20 ELSE 0 END x1,y1,x2+CASE WHEN y1%3=0 THEN 20 ELSE 0 END x2,y2 FROM {rb_} WHERE x1%9=0 AND y1%12=4"""
+_EB = """SELECT page_id,CAST(floor(y1/12) AS INT) row_id,x1+CASE WHEN y1%3=0 THEN 20 ELSE 0 END x1,y1,x2+CASE WHEN y1%3=0 THEN 20 ELSE 0 END x2,y2 FROM {rb_}"""
 
 
 @register("recovered_end_bars", duck(f"""
@@ -357,7 +357,7 @@ SELECT page_id,row_id,x AS x1,y_top AS y1,m AS x2,y_bottom AS y2,round(dr,6) AS
     {**R, **_ER, "eb_": _EB}))
 def _(c):
     rows = _row_groups(c).withColumn("x_ref", 50.0 + F.col("page_id") % 5)
-    b = boxes(c).where("x1 % 9 = 0 AND y1 % 12 = 4").withColumns({
+    b = boxes(c).withColumns({
         "row_id": F.floor(F.col("y1") / 12).cast("int"),
         "x1": F.col("x1") + F.when(F.col("y1") % 3 == 0, 20).otherwise(0),
         "x2": F.col("x2") + F.when(F.col("y1") % 3 == 0, 20).otherwise(0)})

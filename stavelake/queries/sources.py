@@ -102,7 +102,7 @@ def _(c):
     return c.sql(_CI).select("id", tx.split_composite_id(F.col("id")).alias("s")).select("id", "s.score", "s.page")
 
 
-_SR = f"""SELECT {PG},CAST(det_id%11 AS INT) priority,concat('loc',CAST(det_id%11 AS VARCHAR(9)),'/',CAST(score_id AS VARCHAR(9)),'-',CAST(page_index AS VARCHAR(9)),'.json') path FROM {{f_barline}} WHERE det_id%101=7"""
+_SR = f"""SELECT {PG},CAST(det_id%11 AS INT) priority,concat('loc',CAST(det_id%11 AS VARCHAR(9)),'/',CAST(score_id AS VARCHAR(9)),'-',CAST(page_index AS VARCHAR(9)),'.json') path FROM {{f_barline}}"""
 
 
 @register("first_available_seeds", duck(f"""
@@ -117,8 +117,8 @@ def _(c):
     return io.first_available(c.sql(_SR), c["f_page"], list(KEYS), require=True)[1]
 
 
-_MK = f"""SELECT {PG},CAST(det_id%2 AS INT) priority,concat('mask',CAST(det_id%7 AS VARCHAR(9)),'.png') path FROM {{f_barline}} WHERE det_id%37=3"""
-_CM = f"""SELECT {PG},concat('cur',CAST(det_id%5 AS VARCHAR(9)),'.png') path FROM {{f_barline}} WHERE det_id%53=11"""
+_MK = f"""SELECT {PG},CAST(det_id%2 AS INT) priority,concat('mask',CAST(det_id%7 AS VARCHAR(9)),'.png') path FROM {{f_barline}}"""
+_CM = f"""SELECT {PG},concat('cur',CAST(det_id%5 AS VARCHAR(9)),'.png') path FROM {{f_barline}}"""
 
 
 @register("resolved_masks", duck(f"""

@@ -20,7 +20,7 @@ V = {
     "ocrt_": OCR,
     "ocrm_": OCR_MERGE,
     "v_tok": f"SELECT {CK},ord,x1,y1,x2,y2,text,confidence,0 src FROM {{ocrt_}} UNION ALL SELECT {CK},ord,x1,y1,x2,y2,text,confidence,1 FROM {{ocrm_}} WHERE nm>1",
-    "v_num": f"""SELECT *, CAST(digits AS INT) val FROM (SELECT *, unnest(nums) digits, unnest(range(len(nums))) pos FROM (SELECT *, {_NUMS} nums FROM
+    "v_num": f"""SELECT *, TRY_CAST(digits AS INT) val FROM (SELECT *, unnest(nums) digits, unnest(range(len(nums))) pos FROM (SELECT *, {_NUMS} nums FROM
       (SELECT *, regexp_replace(regexp_replace(text,'^[EP](\\d)','\\1'),'[.,;]','','g') cleaned, CAST(90+score_id%3*30 AS INT) w, 100 h FROM {{v_tok}})))""",
     "v_cand": """SELECT *, CASE WHEN val>=2 THEN 100-abs((x1+x2)/2e0-w/2e0)/w*200-abs((y1+y2)/2e0-h/2e0)/h*100
  +CASE WHEN (y2-y1)/CAST(h AS DOUBLE) BETWEEN 0.4 AND 0.95 THEN 20 WHEN (y2-y1)/CAST(h AS DOUBLE)<0.3 THEN -30 ELSE 0 END
