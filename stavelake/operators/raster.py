@@ -511,6 +511,7 @@ def acceptance(p: dict) -> Column:
     )
 
 
+# Status words of scan records.
 RIGHT_STATUSES = ("scan_ratio_low", "scan_ratio_rel_low", "extended_ratio_scan",
                   "extended_top_ratio_scan", "extended_bottom_ratio_scan")
 GAP_STATUSES = ("scan_ratio_low", "scan_ratio_rel_low")

@@ -16,6 +16,7 @@ from ..session import materialize
 from . import scan
 from .blocking import pin
 
+# The stage, kind and operation names of the accepted documents.
 STAGES = (
     "job", "input_validation", "pdf_render", "score_detection", "measure_construction",
     "measure_number_recognition", "correction_application", "numbering", "artifact_materialization",

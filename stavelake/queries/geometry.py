@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..fixtures import duck
 from ..functions import geometry as g
 from ..functions import text as tx
+from ..functions.text import LABEL_WORDS
 from . import register
 from .sqltext import expand, iou, overlap_max, rint, trunc
 
@@ -262,9 +263,9 @@ def _(c):
                     *(v.alias(n) for v, n in zip(r, g.BOX)))
 
 
-_NUMS = """CASE WHEN regexp_matches(lower(text),'(viol|vc|cb|fl|ob|cl|fag|cor|tr|timp|pizz|arco|div|legni|solo|tutti|con|senza|allegro|adagio|andante|lento|presto|moderato)')
+_NUMS = """CASE WHEN regexp_matches(lower(text),'@WORDS@')
  THEN list_filter(list_transform(regexp_split_to_array(regexp_replace(cleaned,'[0-9]*[A-Za-z]+[0-9]*','#','g'),'[^0-9]+'), lambda s: s), lambda s: s<>'')
- ELSE regexp_extract_all(cleaned,'\\d+') END"""
+ ELSE regexp_extract_all(cleaned,'\\d+') END""".replace("@WORDS@", "(" + "|".join(LABEL_WORDS).lower() + ")")
 _CLEAN = """regexp_replace(regexp_replace(text,'^[EP](\\d)','\\1'),'[.,;]','','g')"""
 OCR_NUMS = f"""SELECT *, {_NUMS} nums FROM (SELECT *, {_CLEAN} cleaned FROM {{f_ocr_token}})"""
 

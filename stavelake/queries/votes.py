@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..fixtures import duck
+from ..functions.text import LABEL_WORDS
 from ..operators import votes
 from ..session import materialize
 from . import register
@@ -13,9 +14,9 @@ MK = ",".join(M)
 CK = ",".join(CROP)
 R6 = lambda c: F.round(c, 6)
 
-_NUMS = """CASE WHEN regexp_matches(lower(text),'(viol|vc|cb|fl|ob|cl|fag|cor|tr|timp|pizz|arco|div|legni|solo|tutti|con|senza|allegro|adagio|andante|lento|presto|moderato)')
+_NUMS = """CASE WHEN regexp_matches(lower(text),'@WORDS@')
  THEN list_filter(regexp_split_to_array(regexp_replace(cleaned,'[0-9]*[A-Za-z]+[0-9]*','#','g'),'[^0-9]+'), lambda s: s<>'')
- ELSE regexp_extract_all(cleaned,'\\d+') END"""
+ ELSE regexp_extract_all(cleaned,'\\d+') END""".replace("@WORDS@", "(" + "|".join(LABEL_WORDS).lower() + ")")
 V = {
     "ocrt_": OCR,
     "ocrm_": OCR_MERGE,
