@@ -8,7 +8,8 @@
    where two linked sets must share ``l`` prefix tokens (the smaller ``l`` of the two). Each class
    picks the ``l`` that makes its estimated candidates cheapest.
 4. One candidate of each class is verified first. Pairs whose classes are connected by then need no
-   verification; only tokens that several components hold are joined for the rest.
+   verification; only tokens that several components hold are joined for the rest. Parity bits of
+   the sets bound the tokens that differ, so pairs that cannot link are never made.
 """
 
 from __future__ import annotations
@@ -72,6 +73,19 @@ def _digests(s: np.ndarray, n: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(s[e - m : e].tobytes()) if m else b"" for e, m in zip(ends, n)]
 
 
+PARITY_WORDS = 16
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """How many hashes fall on each of 1024 places, odd or even, as bits.
+
+    A token that only one of two sets has flips one bit, so the bits that differ are at most
+    the tokens that differ.
+    """
+    odd = np.bincount((s % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def held_by_others(docs: DataFrame, k: int, tokens_at_once: int = 6_000_000) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, digest) of all documents, and (c, held) of all classes.
 
@@ -195,11 +209,11 @@ def near_duplicates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s, n = shingle_sets(b["text"], k)
-            ends = np.cumsum(n)
-            yield pd.DataFrame({"digest": _digests(s, n), "s": [s[e - m : e].tobytes() for e, m in zip(ends, n)]})
+            own = [s[e - m : e] for e, m in zip(np.cumsum(n), n)]
+            yield pd.DataFrame({"digest": _digests(s, n), "s": [x.tobytes() for x in own], "sign": [parities(x) for x in own]})
 
-    made = rows.mapInPandas(sets, "digest binary, s binary").groupBy("digest").agg(F.first("s").alias("s"))
-    made = materialize(made.join(cand, "digest").select("digest", "n", "held", "s"), "jaccard-sets")
+    made = rows.mapInPandas(sets, "digest binary, s binary, sign array<long>").groupBy("digest").agg(F.first("s").alias("s"), F.first("sign").alias("sign"))
+    made = materialize(made.join(cand, "digest").select("digest", "n", "held", "s", "sign"), "jaccard-sets")
 
     pairs = _linked(made, num, den)
     roots = components(pairs)
@@ -289,13 +303,18 @@ def _linked(made: DataFrame, num: int, den: int) -> DataFrame:
     release(prefix)
     several = prefix2.groupBy("t").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("t")
     active = prefix2.join(several, "t", "left_semi")
-    lists = active.groupBy("digest").agg(F.collect_list("t").alias("ts"))
+    lists = active.groupBy("digest").agg(F.collect_list("t").alias("ts")).join(made.select("digest", "sign"), "digest")
     side = materialize(active.join(lists, "digest"), "prefixes")
-    x = side.select("t", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("held").alias("held_a"), F.col("l").alias("l_a"), F.col("ts").alias("ts_a"), F.col("root").alias("root_a"))
-    y = side.select("t", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("held").alias("held_b"), F.col("l").alias("l_b"), F.col("ts").alias("ts_b"), F.col("root").alias("root_b"))
+    x = side.select("t", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("held").alias("held_a"), F.col("l").alias("l_a"), F.col("ts").alias("ts_a"), F.col("sign").alias("sign_a"), F.col("root").alias("root_a"))
+    y = side.select("t", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("held").alias("held_b"), F.col("l").alias("l_b"), F.col("ts").alias("ts_b"), F.col("sign").alias("sign_b"), F.col("root").alias("root_b"))
     shared = F.array_intersect("ts_a", "ts_b")
+    differ = F.lit(0)
+    for i in range(PARITY_WORDS):
+        differ = differ + F.bit_count(F.get("sign_a", F.lit(i)).bitwiseXOR(F.get("sign_b", F.lit(i))))
+    # tokens that differ are at least ``differ``: 2 * shared <= n_a + n_b - differ
+    most = (F.col("n_a") + F.col("n_b") - differ) * (den + num) >= (F.col("n_a") + F.col("n_b")) * (2 * num)
     # each pair once, at its least shared token
-    ask = (x["t"] == y["t"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & bound & (
+    ask = (x["t"] == y["t"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & bound & most & (
         F.size(shared) >= F.least("l_a", "l_b")) & (F.array_min(shared) == x["t"])
     rest = x.join(y, ask).select("a", "b")
     return links.unionAll(verify(materialize(rest, "jaccard-rest"), made, num, den))
