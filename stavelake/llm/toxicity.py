@@ -7,7 +7,10 @@ is that of its worst window.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from sys import intern
 
 import numpy as np
 import pandas as pd
@@ -187,16 +190,18 @@ def train(windows: list[tuple[int, int, list[str]]], n_vocab: int = 4_000, epoch
     with their worst windows and with some at random.
     """
     rng = np.random.default_rng(seed)
-    bare = [[w.strip(_EDGES) or w for w in ws] for _, _, ws in windows]
-    seen: dict[str, list[set]] = {}
+    windows = sorted(windows, key=lambda x: x[0])
+    # texts in which a word stands, counted one text at a time; equal words are one object
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
     texts: tuple[set, set] = (set(), set())
-    for (doc, y, _), ws in zip(windows, bare):
+    for (doc, y), group in groupby(windows, key=lambda x: x[:2]):
         texts[y].add(doc)
-        for w in ws:
-            seen.setdefault(w, [set(), set()])[y].add(doc)
+        counts[y].update({intern(w.strip(_EDGES) or w) for _, _, ws in group for w in ws})
     n0, n1 = len(texts[0]) + 1.0, len(texts[1]) + 1.0
-    odds = {w: float(np.log((len(s[1]) + 0.5) / n1 / ((len(s[0]) + 0.5) / n0))) for w, s in seen.items()}
-    common = sorted((w for w in odds if len(seen[w][0]) + len(seen[w][1]) >= 3), key=lambda w: (-abs(odds[w]), w))[:n_vocab]
+    odds = {w: float(np.log((counts[1][w] + 0.5) / n1 / ((counts[0][w] + 0.5) / n0)))
+            for w in counts[0].keys() | counts[1].keys() if counts[0][w] + counts[1][w] >= 3}
+    del counts
+    common = sorted(odds, key=lambda w: (-abs(odds[w]), w))[:n_vocab]
     vocab = {w: k + 1 for k, w in enumerate(common)}
     net = Network(len(vocab) + 1, seed)
     for w, k in vocab.items():
@@ -207,11 +212,10 @@ def train(windows: list[tuple[int, int, list[str]]], n_vocab: int = 4_000, epoch
         net.p["wo"][:] = 0
         return scorer
 
-    order = sorted(range(len(windows)), key=lambda k: windows[k][0])
-    doc = np.array([windows[k][0] for k in order])
-    y = np.array([windows[k][1] for k in order], np.float32)
-    words = [windows[k][2] for k in order]
-    worst_by = np.array([max((odds[w] for w in bare[k] if w in vocab), default=0.0) for k in order])
+    doc = np.array([i for i, _, _ in windows])
+    y = np.array([label for _, label, _ in windows], np.float32)
+    words = [ws for _, _, ws in windows]
+    worst_by = np.array([max((odds[v] for v in (w.strip(_EDGES) or w for w in ws) if v in vocab), default=0.0) for ws in words])
     codes, distinct = pd.factorize(np.array([w for ws in words for w in ws] + [" "], dtype=object))
     ids, pairs, starts = scorer.words.codes(list(distinct))
     ends = np.cumsum([len(ws) for ws in words])
@@ -274,7 +278,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: F.Column, per_cl
 
     found = rows.mapInPandas(cut, "doc_id long, y int, at long, words string").distinct().toPandas()
     found = found.sort_values(["doc_id", "at", "words"], kind="stable")
-    return train([(int(i), int(y), w.split()) for i, y, w in zip(found["doc_id"], found["y"], found["words"])], seed=seed)
+    return train([(int(i), int(y), [*map(intern, w.split())]) for i, y, w in zip(found["doc_id"], found["y"], found["words"])], seed=seed)
 
 
 def toxicity_of(scorer: Scorer, words_at_once: int = 200_000):
