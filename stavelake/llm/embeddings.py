@@ -151,23 +151,31 @@ class Graph:
         return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def audited_search(index: np.ndarray, queries: np.ndarray, least: float, audit: int = 256, beam: int = 16, recall: float = 0.99) -> tuple:
+def audited_search(index: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None, audit: int = 256,
+                   beam: int = 16, recall: float = 0.99) -> tuple:
     """Pairs within ``least``; the beam is doubled until the audit passes.
 
-    Audit queries are spread over all and answered by brute force as well. Of their pairs
-    within ``least`` the search must find ``recall``, and of their nearest other vectors nine
-    in ten, as these are harder to find and there are always some.
+    Audit queries are spread over all and answered by brute force as well. The search must find
+    ``recall`` of their pairs within ``least``, and as much of their eight nearest vectors, as
+    these are harder to find and there are always some. ``own`` is each query's place in the
+    index, -1 where it has none: what a query finds of itself counts nowhere in the audit.
     """
     graph = Graph(index)
-    some = queries[np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))]
+    at = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
+    some = queries[at]
+    mine = np.full(len(at), -1) if own is None else own[at]
     similar = some @ index.T
+    similar[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -2
     truth = int((similar >= least).sum())
-    second = np.sort(similar, axis=1)[:, -min(2, len(index))]
+    k = min(8, len(index))
+    kth = np.sort(similar, axis=1)[:, -k]
     while beam < len(index):
-        found = len(graph.within(some, least, beam)[0])
+        who, what = graph.within(some, least, beam)
+        found = int((what != mine[who]).sum())
         ids, sim = graph._walk(0, some, graph._enter(some, 0), beam, len(index))
-        near = np.minimum(2, (sim >= second[:, None] - 1e-6).sum(1)).sum()
-        if found >= recall * truth and near >= 0.9 * 2 * len(some):
+        other = (ids >= 0) & (graph.order[ids] != mine[:, None])
+        near = np.minimum(k, (other & (sim >= kth[:, None] - 1e-6)).sum(1)).sum()
+        if found >= recall * truth and near >= recall * k * len(some):
             break
         beam *= 2
     return graph.within(queries, least, beam)
@@ -218,7 +226,9 @@ def near_vectors(rows: DataFrame, least: float = 0.98, shard_rows: int = 4_096)
             return pd.DataFrame({"a": [], "b": []})
         left, right = left.sort_values("cid", kind="stable"), right.sort_values("cid", kind="stable")
         x, q = unit(left), unit(right)
-        who, what = audited_search(x.astype(np.float32), q.astype(np.float32), least - 1e-4)
+        at = np.minimum(np.searchsorted(left["cid"].to_numpy(), right["cid"].to_numpy()), len(left) - 1)
+        own = np.where(left["cid"].to_numpy()[at] == right["cid"].to_numpy(), at, -1)
+        who, what = audited_search(x.astype(np.float32), q.astype(np.float32), least - 1e-4, own)
         exact = np.einsum("kd,kd->k", q[who], x[what]) >= least
         a, b = right["cid"].to_numpy()[who[exact]], left["cid"].to_numpy()[what[exact]]
         return pd.DataFrame({"a": a, "b": b})[a != b]

@@ -156,6 +156,34 @@ def test_graph_recall():
     assert len(truth & set(zip(who, what))) >= 0.97 * len(truth)
 
 
+def test_self_hits_do_not_pass_the_audit(monkeypatch):
+    class Lazy(embeddings.Graph):
+        """Narrow searches of one query in six find only the query itself."""
+
+        def __init__(self, x):
+            self.built = False
+            super().__init__(x)
+            self.built = True
+
+        def _walk(self, l, q, start, beam, limit):
+            ids, sim = super()._walk(l, q, start, beam, limit)
+            if self.built and l == 0 and beam < 64:
+                lost = (np.abs(q[:, 0]) * 1e5).astype(int) % 6 == 0
+                ids[lost, 1:], sim[lost, 1:] = -1, -2
+            return ids, sim
+
+    monkeypatch.setattr(embeddings, "Graph", Lazy)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 32)).astype(np.float32)
+    x[1480:] = x[:20] + rng.normal(size=(20, 32)).astype(np.float32) * 0.1
+    x = x[rng.permutation(1500)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    truth = set(zip(*np.nonzero(near)))
+    assert len(truth) == 40 and truth <= set(zip(*embeddings.audited_search(x, x, 0.98, own=np.arange(1500))))
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_vectors(df).count() == 0
