@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,18 +87,20 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def held_by_others(docs: DataFrame, k: int, tokens_at_once: int = 6_000_000) -> tuple[DataFrame, DataFrame]:
+def held_by_others(docs: DataFrame, k: int, tokens_at_once: int = 6_000_000, heads_at_once: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, digest) of all documents, and (c, held) of all classes.
 
     ``held`` counts a class's tokens that another class has too; hash collisions can only make
     it larger. A token costs about five bytes of shuffle and is sent once by each batch that
-    has it, however many of its documents do.
+    has it, however many of its documents do. Rows of documents need no group of their own and
+    are dealt to the parts in turn, whatever their texts are.
     """
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(8, -(-chars // (6 * tokens_at_once)))
+    chars, rows = docs.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
+    parts = max(8, -(-(chars or 0) // (6 * tokens_at_once)), -(-rows // heads_at_once))
     schema = "part int, kind int, a binary, b binary, c binary"
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = TaskContext.get().partitionId()
         for whole in batches:
             for k0 in range(0, len(whole), 4096):
                 b = whole.iloc[k0 : k0 + 4096]
@@ -105,10 +108,10 @@ def held_by_others(docs: DataFrame, k: int, tokens_at_once: int = 6_000_000) ->
                 digests = _digests(s, n)
                 out = []
                 heads = pd.DataFrame({"doc_id": b["doc_id"].astype("string").fillna("").to_numpy(object), "n": n, "d": digests})
-                home = np.array([d[0] if d else 0 for d in digests]) % parts if len(b) else np.zeros(0, int)
-                for q in np.unique(home):
-                    own = heads[home == q]
-                    out.append((int(q), 0, "\n".join(own["doc_id"]).encode(), own["n"].to_numpy(np.int32).tobytes(), b"".join(d.ljust(16, b"\0") for d in own["d"])))
+                for h0 in range(0, len(heads), 512):
+                    own = heads.iloc[h0 : h0 + 512]
+                    out.append((turn % parts, 0, "\n".join(own["doc_id"]).encode(), own["n"].to_numpy(np.int32).tobytes(), b"".join(d.ljust(16, b"\0") for d in own["d"])))
+                    turn += 1
                 # classes of this batch, by their first documents
                 code, names = pd.factorize(np.array(digests, dtype=object))
                 first = np.zeros(len(n), bool)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stavelake.llm import components, embeddings, jaccard, substrings
 
@@ -61,6 +62,17 @@ def test_join_keeps_one_of_each_group(docs, rows, no_docs):
     assert jaccard.near_duplicates(no_docs, 3, 90, 100).count() == 0
 
 
+def test_copies_are_dealt_to_all_parts(spark, monkeypatch):
+    rows = [(i, "one and the same text", "s") for i in range(9000)] + [(None, None, "s")] * 9000
+    df = make_docs(spark, rows).repartition(8)
+    made, plain = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, schema: made.append(plain(self, f, schema)) or made[-1])
+    heads, _ = jaccard.held_by_others(df, 3)
+    per_part = [r.n for r in made[0].filter("kind = 0").groupBy("part").agg(F.sum(F.length("b") / 4).cast("long").alias("n")).collect()]
+    assert sum(per_part) == heads.count() == len(rows) and max(per_part) < len(rows) / 4
+    assert heads.filter("doc_id IS NULL AND n = 0").count() == 9000
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
     got = {(r.node, r.root) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
