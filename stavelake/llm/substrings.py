@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: A cut stands at least NEAR bytes from the next; the hash sees 16 bytes; no chunk is longer than LONGEST.
 NEAR, LONGEST = 28, 1024
 GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "little") for b in range(256)], np.uint32)
@@ -93,17 +95,17 @@ def dedup_substrings(docs: DataFrame, least_run: int = 64) -> DataFrame:
 
     A chunk stays where it stands first: in the document of smallest id, there at its first
     place. Elsewhere it goes, if the run of repeated chunks it is in has ``least_run`` bytes
-    or more, so short common phrases stay. Documents of one id count as one for what other
-    documents hold; a null id comes before all others. A null text stays null; an empty or
-    wholly repeated text becomes empty and keeps its row. Other columns are kept as they are,
-    whatever their names.
+    or more, so short common phrases stay. A null id comes before all others; different texts
+    of one id, or without one, come in the order of their hashes, and of equal ones the first
+    row counts. A null text stays null; an empty or wholly repeated text becomes empty and
+    keeps its row. Other columns are kept as they are, whatever their names.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
 
     def chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys, digests, places = [], [], []
-            for k, t in zip(b["k"], b["t"]):
+            keys, hashes, digests, places = [], [], [], []
+            for k, h, t in zip(b["k"], b["h"], b["t"]):
                 seen = set()
                 for place, d in enumerate(chunk_digests(t if isinstance(t, str) else "")[2]):
                     if d not in seen:
@@ -111,30 +113,35 @@ def dedup_substrings(docs: DataFrame, least_run: int = 64) -> DataFrame:
                         digests.append(d)
                         places.append(place)
                 keys.append(np.full(len(seen), k, np.int64))
+                hashes.append(np.full(len(seen), h, np.int64))
             raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 12)
             yield pd.DataFrame({
-                "k": np.concatenate(keys) if keys else np.zeros(0, np.int64), "place": np.array(places, np.int32),
+                "k": np.concatenate(keys) if keys else np.zeros(0, np.int64), "h": np.concatenate(hashes) if hashes else np.zeros(0, np.int64), "place": np.array(places, np.int32),
                 "d1": np.ascontiguousarray(raw[:, :8]).view("<i8").ravel(), "d2": np.ascontiguousarray(raw[:, 8:]).view("<i4").ravel()})
 
-    texts = docs.select(key.alias("k"), F.col("text").alias("t"))
-    chunks = texts.mapInPandas(chunk, "k long, place int, d1 long, d2 int")
-    shared = chunks.groupBy("d1", "d2").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last")
-    # a hot chunk meets one row, so its documents can be split over tasks
-    gone = chunks.join(shared, ["d1", "d2"]).filter("k > first").groupBy("k").agg(F.collect_list("place").alias("places"))
-
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k"), F.col("text").alias("t"))
-    joined = whole.join(gone, "k", "left").drop("k")
+    # written once, as the numbers that tell equal rows apart must stay the same
+    whole = materialize(docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k"), F.xxhash64("text").alias("h"),
+        F.monotonically_increasing_id().alias("nth")), "passages")
+    text = F.col("row").getField("text").alias("t")
+    chunks = whole.select("k", "h", text).mapInPandas(chunk, "k long, h long, place int, d1 long, d2 int")
+    own = F.struct("k", "h")
+    shared = chunks.groupBy("d1", "d2").agg(F.min(own).alias("first"), F.max(own).alias("last")).filter("first < last")
+    shared = shared.select("d1", "d2", F.col("first.k").alias("k0"), F.col("first.h").alias("h0"))
+    # a hot chunk meets one row, so its documents can be split over tasks; places are those of one text
+    gone = chunks.join(shared, ["d1", "d2"]).filter("k > k0 OR k = k0 AND h > h0").groupBy("k", "h").agg(F.collect_set("place").alias("places"))
+    copies = whole.groupBy("k", "h").agg(F.min("nth").alias("nth0"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    joined = whole.join(gone, ["k", "h"], "left").join(copies, ["k", "h"], "left").select(
+        "row", text, "places", F.coalesce(F.col("nth") > F.col("nth0"), F.lit(False)).alias("copy"))
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for t, places in zip(b["t"], b["places"]):
+            for t, places, copy in zip(b["t"], b["places"], b["copy"]):
                 raw, ends, digests = chunk_digests(t if isinstance(t, str) else "")
-                repeated = np.zeros(len(ends), bool)
+                repeated = np.full(len(ends), copy, bool)
                 if places is not None:
-                    # a list made from another text of the same id may be longer
-                    where = np.asarray(places, np.int64)
-                    repeated[where[where < len(ends)]] = True
+                    repeated[np.asarray(places, np.int64)] = True
                 seen: dict[bytes, bool] = {}
                 for place, d in enumerate(digests):
                     if d in seen:

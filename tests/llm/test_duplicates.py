@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stavelake.llm import components, embeddings, jaccard, substrings
 
-from .conftest import make_docs
+from .conftest import make_docs, sentence
 
 
 def roots(n, links):
@@ -117,6 +117,29 @@ def test_passages_stay_once(docs, rows, no_docs):
     assert substrings.dedup_substrings(no_docs).count() == 0
 
 
+def test_passages_of_rows_with_one_id(spark):
+    rng = random.Random(7)
+    fresh = lambda n: sentence(rng, n, 9000)
+    shared, inner, none = fresh(60), fresh(60), fresh(60)
+    first, other = f"{fresh(50)} {shared}", fresh(140)
+    rows = [(1, first, "s"), (2, f"{shared} {fresh(30)}", "s"), (2, other, "s"),  # only one text of id 2 repeats id 1
+            (3, f"{fresh(30)} {inner}", "s"), (3, f"{fresh(40)} {inner}", "s"),
+            (None, f"{fresh(30)} {none}", "s"), (None, f"{fresh(40)} {none}", "s"),
+            *[(None, first, "copy")] * 3, *[(4, other[:400], "s")] * 2]
+    out = substrings.dedup_substrings(make_docs(spark, rows)).collect()
+    texts = [(r.doc_id, r.text) for r in out]
+    assert len(out) == len(rows)
+
+    def holders(passage):
+        middle = " ".join(passage.split()[20:40])
+        return sorted((i is not None, i or 0) for i, t in texts if middle in t)
+
+    assert (2, other) in texts  # nothing of it stands earlier
+    assert holders(shared) == [(False, 0)] and holders(inner) == [(True, 3)] and holders(none) == [(False, 0)]
+    assert holders(first) == [(False, 0)] and sum(t == "" for i, t in texts if i is None) == 2
+    assert sum(len(t) for i, t in texts if i == 4) < 150  # id 2 holds all of it but the cut chunk
+
+
 def vectors():
     rng = np.random.default_rng(4)
     rows = []
