@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, jaccard, language_model, lines, mixing, quality, sharding, substrings, toxicity
+from . import bpe, conversations, embeddings, jaccard, language_model, licenses, lines, mixing, quality, search, sharding, substrings, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,28 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' target weights."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+ORACLES["op11_ranked_search"] = search.ORACLE
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents by template markup."""
+    return licenses.license_labels(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_license_scan"] = licenses.ORACLE
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after damage, repaired at least cost."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair_conversations(conversations.damage(rows), rows)
