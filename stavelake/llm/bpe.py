@@ -15,7 +15,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 
 #: Entries of a worker's word and pair caches before they are emptied; memory stays bounded.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def byte_chars() -> dict[int, str]:
@@ -171,6 +171,10 @@ class Encoder:
         self.text = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.cache: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.m._fits.clear()
+
     def _symbols(self, word: str) -> Iterator[str]:
         held = None
         for c in word:
@@ -256,24 +260,31 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _digests(enc: Encoder, text: str, block: int = 1 << 14) -> tuple[int, str, str, str]:
-    """Token count, digests of ids and decoded text, and the ids' bytes; held a block at a time."""
+def _digests(enc: Encoder, text: str, with_ids: bool, block: int = 1 << 14) -> tuple[int, str, str, bytes]:
+    """Token count, digests of ids and decoded text, and the ids' bytes if asked for; held a block at a time."""
     ids_sha, text_sha, n, out, buf = hashlib.sha256(), hashlib.sha256(), 0, [], []
     decoder = Decoder(enc)
 
     def flush():
         raw = np.array(buf, dtype="<u4").tobytes()
         ids_sha.update(raw)
-        out.append(raw)
+        if with_ids:
+            out.append(raw)
         text_sha.update("".join(map(decoder.feed, buf)).encode())
         buf.clear()
 
     for run in enc.encode(text):
-        for i in run:
-            buf.append(i)
-            if len(buf) >= block:
-                n += len(buf)
-                flush()
+        if isinstance(run, list):
+            buf.extend(run)
+        else:  # a long word is a stream
+            for i in run:
+                buf.append(i)
+                if len(buf) >= block:
+                    n += len(buf)
+                    flush()
+        if len(buf) >= block:
+            n += len(buf)
+            flush()
     n += len(buf)
     flush()
     return n, ids_sha.hexdigest(), text_sha.hexdigest(), b"".join(out)
@@ -290,12 +301,17 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
-        for b in batches:
-            rows = [_digests(enc, t if isinstance(t, str) else "") for t in b["text"]]
-            out = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [r[0] for r in rows],
-                                "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
-            if with_ids:
-                out["ids"] = [np.frombuffer(r[3], "<u4").astype(np.int64) for r in rows]
-            yield out
+        try:
+            for whole in batches:
+                for k in range(0, len(whole), 128):
+                    b = whole.iloc[k : k + 128]
+                    rows = [_digests(enc, t if isinstance(t, str) else "", with_ids) for t in b["text"]]
+                    out = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [r[0] for r in rows],
+                                        "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
+                    if with_ids:
+                        out["ids"] = [np.frombuffer(r[3], "<u4").astype(np.int64) for r in rows]
+                    yield out
+        finally:  # the worker lives on, its caches need not
+            enc.forget()
 
     return docs.select("doc_id", "text").mapInPandas(encode, schema)

@@ -7,9 +7,10 @@
 3. Prefixes: tokens in a global order, rare ones first. A class takes ``missing + l`` of them,
    where two linked sets must share ``l`` prefix tokens (the smaller ``l`` of the two). Each class
    picks the ``l`` that makes its estimated candidates cheapest.
-4. One candidate of each class is verified first. Pairs whose classes are connected by then need no
-   verification; only tokens that several components hold are joined for the rest. Parity bits of
-   the sets bound the tokens that differ, so pairs that cannot link are never made.
+4. In a few rounds one candidate of each class in another component is verified. Pairs whose classes
+   are connected by then need no verification; only tokens that several components hold are joined
+   for the rest. Parity bits of the sets bound the tokens that differ, so pairs that cannot link are
+   never made. Two components hand on one link.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .components import components
 #: Tokens of at least this share of all candidate tokens have their count known everywhere: 65536 at most.
 COMMON_SHARE = 2.0**-16
 MOST_MATCHES = 8
+#: Rounds in which each class meets one head, before the rest is joined.
+MEETINGS = 4
 
 
 def _finish(x: np.ndarray) -> np.ndarray:
@@ -229,21 +232,25 @@ def near_duplicates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Rows of ``docs`` without those that link, over any number of links, to one of smaller id.
+    """One row of each group of rows of ``docs`` that links connect, the one of least id.
 
-    Of rows repeated with one id, one stays. Rows without an id stay, as nothing tells them apart.
+    Rows count, not ids: equal rows, rows of one id and rows without an id are told apart by a
+    key of the row. Of one id the row with the least hash of its text stays; a row without an
+    id stays only where no row of its group has one. Rows whose text is null or has no words
+    link with nothing and stay. An empty table gives an empty result; columns of any name
+    are kept.
     """
-    found = materialize(near_duplicates(docs, k, num, den), "near-duplicates")
-    # an id goes when no row of it heads its group
-    per_id = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("heads"), F.count(F.lit(1)).alias("rows"))
-    gone = per_id.filter("heads = 0").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = per_id.filter("heads = 1 AND rows > 1").select(F.col("doc_id").alias("_again"))
-    if again.isEmpty():
-        return kept
-    single = kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    return single.unionAll(kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    taken = {c.lower() for c in docs.columns}
+    key = next(c for c in map("_row_{}".format, range(len(taken) + 1)) if c not in taken)
+    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = materialize(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), k, num, den), "near-duplicates")
+    order = F.struct(F.col("i").isNull(), "i", "h", "r")
+    names = rows.select(F.col(key).alias("r"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
+    several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = found.join(several, "component_id").select("component_id", F.col("doc_id").alias("r")).join(names, "r")
+    heads = members.groupBy("component_id").agg(F.min_by("r", order).alias("head"))
+    gone = members.join(heads, "component_id").filter("r <> head").select(F.col("r").alias(key))
+    return rows.join(gone, key, "left_anti").drop(key)
 
 
 def prefixes(made: DataFrame, num: int, den: int) -> DataFrame:
@@ -292,16 +299,30 @@ def _linked(made: DataFrame, num: int, den: int) -> DataFrame:
     bound = (least_both * den >= (F.col("n_a") + F.col("n_b") - least_both) * num) & (
         F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
 
-    # first round: each class meets the head of one of its tokens' lists, the one it shares most tokens with
-    heads = prefix.groupBy("t").agg(F.min(F.struct("n", "digest", "held")).alias("h")).select(
-        "t", F.col("h.digest").alias("b"), F.col("h.n").alias("n_b"), F.col("h.held").alias("held_b"))
-    meets = prefix.select("t", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("held").alias("held_a")).join(heads, "t")
-    meets = meets.filter((F.col("a") != F.col("b")) & bound).groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
-    one = meets.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    links = materialize(verify(one, made, num, den), "jaccard-links")
-
-    # second round: what the first has connected needs no more verification
-    comp = components(links).select(F.col("node").alias("digest"), "root").distinct()
+    # first rounds: each class meets the head of one of its tokens' lists in another component,
+    # the one it shares most tokens with; a head is the class with the fewest tokens of its own
+    links, comp = None, None
+    for _ in range(MEETINGS):
+        named = prefix.withColumn("root", F.col("digest")) if comp is None else prefix.join(comp, "digest", "left").withColumn(
+            "root", F.coalesce("root", "digest"))
+        head = F.min(F.struct((F.col("n") - F.col("held")).alias("own"), "n", "digest", "held", "root"))
+        heads = named.groupBy("t").agg(head.alias("h1"))
+        other = named.join(heads.select("t", F.col("h1.root").alias("r1")), "t").filter("root <> r1").groupBy("t").agg(head.alias("h2"))
+        heads = heads.join(other, "t").select("t", "h1", "h2")
+        meets = named.select("t", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("held").alias("held_a"), "root").join(heads, "t")
+        b = F.when(F.col("h1.root") == F.col("root"), F.col("h2")).otherwise(F.col("h1"))
+        meets = meets.withColumn("h", b).select(
+            "a", "n_a", "held_a", F.col("h.digest").alias("b"), F.col("h.n").alias("n_b"), F.col("h.held").alias("held_b"))
+        meets = meets.filter(bound).groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
+        one = meets.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+        found = materialize(verify(one, made, num, den), "jaccard-links")
+        more = found.count()
+        links = found if links is None else materialize(links.unionAll(found), "jaccard-links")
+        comp = materialize(components(links).select(F.col("node").alias("digest"), "root").distinct(), "jaccard-roots")
+        if not more:
+            break
+
+    # what these have connected needs no more verification
     prefix2 = materialize(prefix.join(comp, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "prefixes")
     release(prefix)
     several = prefix2.groupBy("t").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("t")
@@ -320,7 +341,12 @@ def _linked(made: DataFrame, num: int, den: int) -> DataFrame:
     ask = (x["t"] == y["t"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & bound & most & (
         F.size(shared) >= F.least("l_a", "l_b")) & (F.array_min(shared) == x["t"])
     rest = x.join(y, ask).select("a", "b")
-    return links.unionAll(verify(materialize(rest, "jaccard-rest"), made, num, den))
+    rest = verify(materialize(rest, "jaccard-rest"), made, num, den)
+    # one link is enough between two components
+    root = lambda c: comp.select(F.col("digest").alias(c), F.col("root").alias(f"root_{c}"))
+    rest = rest.join(root("a"), "a", "left").join(root("b"), "b", "left").groupBy(
+        F.coalesce("root_a", "a").alias("ra"), F.coalesce("root_b", "b").alias("rb")).agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b")
+    return links.unionAll(rest)
 
 
 def verify(pairs: DataFrame, made: DataFrame, num: int, den: int) -> DataFrame:

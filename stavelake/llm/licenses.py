@@ -241,12 +241,12 @@ def _oracle() -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     at = " OR ".join(f"w[i + 1 : i + {mandatory(t)}] = {t.split()}" for _, t in BASE)
     has = lambda rows: ", ".join(f"CASE WHEN regexp_matches(s, '{pattern(t)}') THEN '{x}' END" for x, t in rows)
-    labels = lambda rows: f"array_to_string(list_sort(list_distinct(list_filter([{has(rows)}], x -> x IS NOT NULL))), ',')"
+    labels = lambda rows: f"array_to_string(list_sort(list_distinct(list_filter([{has(rows)}], lambda x: x IS NOT NULL))), ',')"
     most = ", ".join(f"CASE WHEN regexp_matches(s, '{pattern(t)}') THEN {mandatory(t)} ELSE 0 END" for _, t in [*BASE, *WORDING])
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
- p AS (SELECT doc_id, len(w) AS n_words, list_filter(range(len(w)), i -> {at}) AS b,
-              array_to_string(list_transform(w, x -> ' ' || x || ' '), '') AS s FROM d),
+ p AS (SELECT doc_id, len(w) AS n_words, list_filter(range(len(w)), lambda i: {at}) AS b,
+              array_to_string(list_transform(w, lambda x: ' ' || x || ' '), '') AS s FROM d),
  m AS (SELECT *, greatest({most}) AS m FROM p)
 SELECT doc_id, n_words, len(b) AS n_base, list_min(b) AS first_word, list_max(b) AS last_word,
        {labels(BASE)} AS base_labels, {labels([*BASE, *WORDING])} AS labels, (m / (m + 2))::DOUBLE AS score FROM m
