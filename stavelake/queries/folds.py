@@ -139,9 +139,9 @@ SELECT {_CK},ord,x1,y1,x2,y2,text,confidence,nm FROM (SELECT *, row_number() OVE
 
 
 @register("merged_ocr_tokens", duck(f"""
-SELECT {_CK},ord,x1,y1,x2,y2,text,round(confidence,6) AS confidence,nm AS n_merged FROM {{ocrm_}}""", {"ocrt_": OCR, "ocrm_": OCR_MERGE}))
+SELECT {_CK},ord,x1,y1,x2,y2,text,confidence,nm AS n_merged FROM {{ocrm_}}""", {"ocrt_": OCR, "ocrm_": OCR_MERGE}))
 def _(c):
-    return folds.merge_ocr_tokens(c.sql(OCR), CROP).withColumn("confidence", R6(F.col("confidence")))
+    return folds.merge_ocr_tokens(c.sql(OCR), CROP)
 
 
 @register("ocr_candidate_tokens", duck(f"""
