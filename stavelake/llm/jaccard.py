@@ -90,7 +90,7 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def held_by_others(docs: DataFrame, k: int, tokens_at_once: int = 6_000_000, heads_at_once: int = 500_000) -> tuple[DataFrame, DataFrame]:
+def held_by_others(docs: DataFrame, k: int, tokens_at_once: int = 6_000_000, heads_at_once: int = 500_000, scratch: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, digest) of all documents, and (c, held) of all classes.
 
     ``held`` counts a class's tokens that another class has too; hash collisions can only make
@@ -177,6 +177,8 @@ def held_by_others(docs: DataFrame, k: int, tokens_at_once: int = 6_000_000, hea
 
     packed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(pack, schema)
     found = materialize(packed.groupBy("part").applyInPandas(count, "doc_id string, n int, digest binary, c long, held long, batches long"), "sets-found")
+    if scratch is not None:
+        scratch.append(found)
     heads = found.filter("n >= 0").select(F.nullif("doc_id", F.lit("")).cast("long").alias("doc_id"), F.col("n").cast("long").alias("n"), "digest")
     # a class that several batches have is counted once by each of them
     held = found.filter("n < 0").groupBy("c").agg((F.sum("held") / F.greatest(F.lit(1), F.sum("batches"))).alias("held"))
@@ -192,7 +194,7 @@ def _class_key() -> F.Column:
     return key
 
 
-def near_duplicates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int, num: int, den: int, scratch: list[DataFrame] | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Two rows link when num / den or more of the shingles of both are in each: den * shared >=
@@ -200,8 +202,10 @@ def near_duplicates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     sets by 128 bits. ``component_id`` is the least id that links reach; a null id is never
     the least. Texts without words link with nothing. Rows count, not ids: repeated rows link
     with each other. An empty table gives an empty result; other columns are ignored.
+    ``scratch`` gets the tables that the result reads, for a caller who has written it.
     """
-    heads, held = held_by_others(docs, k)
+    scratch = [] if scratch is None else scratch
+    heads, held = held_by_others(docs, k, scratch=scratch)
     classes = heads.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"))
     classes = classes.withColumn("c", _class_key())
     may = (F.col("held") * den >= F.col("n") * num)
@@ -221,8 +225,11 @@ def near_duplicates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     made = rows.mapInPandas(sets, "digest binary, s binary, sign array<long>").groupBy("digest").agg(F.first("s").alias("s"), F.first("sign").alias("sign"))
     made = materialize(made.join(cand, "digest").select("digest", "n", "held", "s", "sign"), "jaccard-sets")
 
-    pairs = _linked(made, num, den)
+    pairs = materialize(_linked(made, num, den, scratch), "jaccard-links")
     roots = components(pairs)
+    release(made, pairs, *scratch[1:])  # what comes reads the sets found, the classes and the roots
+    del scratch[1:]
+    scratch += [cand, roots]
     named = roots.join(cand.select(F.col("digest").alias("node"), "least_id"), "node")
     named = named.join(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "root")
     named = named.select(F.col("node").alias("digest"), "component_id")
@@ -243,7 +250,9 @@ def first_of_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     taken = {c.lower() for c in docs.columns}
     key = next(c for c in map("_row_{}".format, range(len(taken) + 1)) if c not in taken)
     rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
-    found = materialize(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), k, num, den), "near-duplicates")
+    scratch: list[DataFrame] = []
+    found = materialize(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), k, num, den, scratch), "near-duplicates")
+    release(*scratch)
     order = F.struct(F.col("i").isNull(), "i", "h", "r")
     names = rows.select(F.col(key).alias("r"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
     several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -292,7 +301,7 @@ def prefixes(made: DataFrame, num: int, den: int) -> DataFrame:
     return materialize(found.join(counts.select("t"), "t", "left_semi"), "prefixes")
 
 
-def _linked(made: DataFrame, num: int, den: int) -> DataFrame:
+def _linked(made: DataFrame, num: int, den: int, scratch: list[DataFrame]) -> DataFrame:
     """Links (a, b) between different classes, enough of them to connect all that are linked."""
     prefix = prefixes(made, num, den)
     least_both = F.least("held_a", "held_b")
@@ -318,17 +327,22 @@ def _linked(made: DataFrame, num: int, den: int) -> DataFrame:
         found = materialize(verify(one, made, num, den), "jaccard-links")
         more = found.count()
         links = found if links is None else materialize(links.unionAll(found), "jaccard-links")
-        comp = materialize(components(links).select(F.col("node").alias("digest"), "root").distinct(), "jaccard-roots")
+        reached = components(links)
+        comp = materialize(reached.select(F.col("node").alias("digest"), "root").distinct(), "jaccard-roots")
+        release(reached)
+        scratch += [found, links, comp]
         if not more:
             break
 
     # what these have connected needs no more verification
     prefix2 = materialize(prefix.join(comp, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "prefixes")
+    scratch.append(prefix2)
     release(prefix)
     several = prefix2.groupBy("t").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("t")
     active = prefix2.join(several, "t", "left_semi")
     lists = active.groupBy("digest").agg(F.collect_list("t").alias("ts")).join(made.select("digest", "sign"), "digest")
     side = materialize(active.join(lists, "digest"), "prefixes")
+    scratch.append(side)
     x = side.select("t", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("held").alias("held_a"), F.col("l").alias("l_a"), F.col("ts").alias("ts_a"), F.col("sign").alias("sign_a"), F.col("root").alias("root_a"))
     y = side.select("t", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("held").alias("held_b"), F.col("l").alias("l_b"), F.col("ts").alias("ts_b"), F.col("sign").alias("sign_b"), F.col("root").alias("root_b"))
     shared = F.array_intersect("ts_a", "ts_b")
@@ -341,7 +355,9 @@ def _linked(made: DataFrame, num: int, den: int) -> DataFrame:
     ask = (x["t"] == y["t"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & bound & most & (
         F.size(shared) >= F.least("l_a", "l_b")) & (F.array_min(shared) == x["t"])
     rest = x.join(y, ask).select("a", "b")
-    rest = verify(materialize(rest, "jaccard-rest"), made, num, den)
+    rest = materialize(rest, "jaccard-rest")
+    scratch.append(rest)
+    rest = verify(rest, made, num, den)
     # one link is enough between two components
     root = lambda c: comp.select(F.col("digest").alias(c), F.col("root").alias(f"root_{c}"))
     rest = rest.join(root("a"), "a", "left").join(root("b"), "b", "left").groupBy(

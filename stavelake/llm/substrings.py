@@ -126,7 +126,8 @@ def dedup_substrings(docs: DataFrame, least_run: int = 64) -> DataFrame:
     text = F.col("row").getField("text").alias("t")
     chunks = whole.select("k", "h", text).mapInPandas(chunk, "k long, h long, place int, d1 long, d2 int")
     own = F.struct("k", "h")
-    shared = chunks.groupBy("d1", "d2").agg(F.min(own).alias("first"), F.max(own).alias("last")).filter("first < last")
+    # a chunk that only equal rows have counts as shared here, but has nothing before it
+    shared = chunks.groupBy("d1", "d2").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     shared = shared.select("d1", "d2", F.col("first.k").alias("k0"), F.col("first.h").alias("h0"))
     # a hot chunk meets one row, so its documents can be split over tasks; places are those of one text
     gone = chunks.join(shared, ["d1", "d2"]).filter("k > k0 OR k = k0 AND h > h0").groupBy("k", "h").agg(F.collect_set("place").alias("places"))
