@@ -14,18 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import blocking as bl
+from .scanlines import bit, entered_rows, integral_rows, packed_rows, set_columns
 
 PAGE = ("page_id",)
 
 
-def _pixels(px: Column, x1: Column, x2: Column) -> Column:
-    return F.slice(px, x1 + 1, F.greatest(x2 - x1, F.lit(0)))
-
-
-def row_hits(
-    boxes: DataFrame, raster: DataFrame, keys: Sequence[str] = PAGE
-) -> DataFrame:
-    """Scan lines covered by each distinct box: ``y`` and the covered pixels ``v``.
+def box_lines(boxes: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
+    """One row per distinct box and scan line ``y`` that it covers, with its columns ``_a`` up to ``_b``.
 
     Boxes are ordered and clipped to the page; empty ones vanish.
     """
@@ -33,11 +28,20 @@ def row_hits(
     d = boxes.select(*keys, *g.BOX).distinct()
     d = d.select(*keys, *g.BOX, F.greatest(F.lit(0), b.x1).alias("_a"), b.x2.alias("_b"),
                  F.greatest(F.lit(0), b.y1).alias("_t"), b.y2.alias("_u"))
-    d = d.where("_u > _t AND _b > _a").select(
+    return d.where("_u > _t AND _b > _a").select(
         *keys, *g.BOX, "_a", "_b", F.explode(F.sequence(F.col("_t"), F.col("_u") - 1)).alias("y"))
-    return d.join(raster.select(*keys, "y", "px"), [*keys, "y"]).select(
-        *keys, *g.BOX, "y",
-        _pixels(F.col("px"), F.col("_a"), F.least(F.col("_b"), F.size("px"))).alias("v"))
+
+
+def line_sums(boxes: DataFrame, rows: DataFrame, sums: str, keys: Sequence[str] = PAGE) -> DataFrame:
+    """What each distinct box holds of each line: pixels ``px_n`` and, for each letter of ``sums``, ``px_s`` ….
+
+    ``rows`` are prefix sums of the lines; every sum is the difference of two of them.
+    """
+    d = box_lines(boxes, keys).join(rows, [*keys, "y"])
+    hi = F.least("_b", "n")
+    d = d.where(hi > F.col("_a"))
+    return d.select(*keys, *g.BOX, "y", (hi - F.col("_a")).cast("bigint").alias("px_n"),
+                    *((F.get(k, hi) - F.get(k, F.col("_a"))).alias(f"px_{k}") for k in sums))
 
 
 def rect_stats(
@@ -47,21 +51,13 @@ def rect_stats(
 
     Sums are integral, so partial results combine exactly in any order.
     """
-    h = row_hits(boxes, raster, keys)
-    zero = F.lit(0).cast("bigint")
-    per_row = h.select(
-        *keys, *g.BOX, F.size("v").cast("bigint").alias("n"),
-        F.aggregate("v", F.struct(zero.alias("s"), zero.alias("q"), zero.alias("d"), zero.alias("z")),
-                    lambda a, p: F.struct(
-                        (a["s"] + p).alias("s"), (a["q"] + p * p).alias("q"),
-                        (a["d"] + (p < threshold).cast("bigint")).alias("d"),
-                        (a["z"] + (p > 0).cast("bigint")).alias("z"))).alias("a"))
-    t = per_row.groupBy(*keys, *g.BOX).agg(
-        F.sum("n").alias("n_px"), F.sum("a.s").alias("px_sum"), F.sum("a.q").alias("_q"),
-        F.sum("a.d").alias("n_dark"), F.sum("a.z").alias("n_nonzero"))
+    h = line_sums(boxes, integral_rows(raster, threshold=threshold, keys=keys), "sqdz", keys)
+    t = h.groupBy(*keys, *g.BOX).agg(
+        F.sum("px_n").alias("n_px"), F.sum("px_s").alias("px_sum"), F.sum("px_q").alias("_q"),
+        F.sum("px_d").alias("n_dark"), F.sum("px_z").alias("n_nonzero"))
     n = F.col("n_px")
     var = F.greatest(F.lit(0.0), (n * F.col("_q") - F.col("px_sum") * F.col("px_sum")) / (n * n))
-    return t.where("n_px > 0").select(
+    return t.select(
         *keys, *g.BOX, "n_px", "px_sum", "n_dark", "n_nonzero",
         (F.col("px_sum") / n).alias("mean"), F.sqrt(var).alias("std"),
         (F.col("n_dark") / n).alias("dark_ratio"), (F.col("n_nonzero") / n).alias("nonzero_ratio"))
@@ -171,16 +167,12 @@ def staff_crossings(boxes: DataFrame, mask: DataFrame, keys: Sequence[str] = PAG
     Entering a run is a property of two neighbouring scan lines, so crossings add up over
     the lines of a box without ordering them again.
     """
-    w = Window.partitionBy(*keys).orderBy("y")
-    m = mask.select(*keys, "y", "px", F.lag("px").over(w).alias("prev"), F.lag("y").over(w).alias("py"))
+    m = entered_rows(packed_rows(mask, keys=keys), keys)
     cx = F.floor((F.col("x1") + F.col("x2")) / 2).cast("int")
-    d = boxes.select(*keys, *g.BOX).distinct().withColumn("cx", cx).where("y2 > greatest(0, y1)")
+    d = boxes.select(*keys, *g.BOX).distinct().withColumn("cx", cx).where("cx >= 0 AND y2 > greatest(0, y1)")
     e = d.select("*", F.explode(F.sequence(F.greatest(F.lit(0), "y1"), F.col("y2") - 1)).alias("y"))
-    on = F.coalesce(F.get("px", F.col("cx")) > 0, F.lit(False))
-    before = F.coalesce((F.col("py") == F.col("y") - 1) & (F.get("prev", F.col("cx")) > 0), F.lit(False))
-    top = F.col("y") == F.greatest(F.lit(0), "y1")
-    hits = e.where("cx >= 0").join(m, [*keys, "y"]).groupBy(*keys, *g.BOX).agg(
-        F.sum((on & (top | ~before)).cast("bigint")).alias("crossings"))
+    met = F.when(F.col("y") == F.greatest(F.lit(0), "y1"), bit(F.col("words"), F.col("cx"))).otherwise(bit(F.col("enters"), F.col("cx")))
+    hits = e.join(m, [*keys, "y"]).groupBy(*keys, *g.BOX).agg(F.sum(met.cast("bigint")).alias("crossings"))
     return boxes.select(*keys, *g.BOX).distinct().join(hits, [*keys, *g.BOX], "left").withColumn(
         "crossings", F.coalesce("crossings", F.lit(0).cast("bigint")))
 
@@ -295,9 +287,8 @@ def active_rows(
     boxes: DataFrame, raster: DataFrame, *, threshold: int, min_ratio: float, keys: Sequence[str] = PAGE
 ) -> DataFrame:
     """Scan lines of each distinct box with at least ``min_ratio`` ink (any ink for 0)."""
-    h = row_hits(boxes, raster, keys)
-    ink = F.size(F.filter("v", lambda p: p < threshold))
-    ok = (ink / F.greatest(F.lit(1), F.size("v")) >= min_ratio) if min_ratio > 0 else (ink > 0)
+    h = line_sums(boxes, integral_rows(raster, threshold=threshold, sums="d", keys=keys), "d", keys)
+    ok = (F.col("px_d") / F.col("px_n") >= min_ratio) if min_ratio > 0 else (F.col("px_d") > 0)
     return h.where(ok).select(*keys, *g.BOX, "y")
 
 
@@ -611,9 +602,9 @@ def right_end_bin(
 def mask_right_end(rows: DataFrame, mask: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """98th percentile of the active mask columns of each row group (``row_id``, y_top/bottom)."""
     e = rows.select(*keys, "row_id", F.explode(F.sequence("y_top", F.col("y_bottom") - 1)).alias("y"))
-    on = F.filter(F.transform("px", lambda p, i: F.when(p > 0, i)), lambda v: v.isNotNull())
-    cols = e.join(mask.select(*keys, "y", on.alias("on")), [*keys, "y"]).select(
-        *keys, "row_id", F.explode("on").alias("x")).distinct()
+    words = e.join(packed_rows(mask, keys=keys), [*keys, "y"]).select(*keys, "row_id", F.posexplode("words").alias("k", "word"))
+    every = words.groupBy(*keys, "row_id", "k").agg(F.bit_or("word").alias("word")).where("word <> 0")
+    cols = every.select(*keys, "row_id", F.explode(F.transform(set_columns(F.array("word")), lambda b: F.col("k") * 64 + b)).alias("x"))
     return cols.groupBy(*keys, "row_id").agg(F.percentile("x", 0.98).alias("x_ref"))
 
 
@@ -720,8 +711,9 @@ def vertical_open(
 ) -> DataFrame:
     """Pixels of each distinct region in vertical runs of ≥ ``open_ratio`` of its height (min 3)."""
     ids = [*keys, *g.BOX]
-    h = row_hits(boxes, mask, keys)
-    p = h.select(*ids, "y", F.posexplode("v").alias("x", "k")).where("k > 0")
+    h = box_lines(boxes, keys).join(packed_rows(mask, keys=keys), [*keys, "y"])
+    inside = F.filter(set_columns(F.col("words")), lambda x: (x >= F.col("_a")) & (x < F.col("_b")))
+    p = h.select(*ids, "y", F.explode(inside).alias("x"))
     w = Window.partitionBy(*ids, "x").orderBy("y")
     p = p.withColumn("r", F.col("y") - F.row_number().over(w))
     height = F.col("y2") - F.greatest(F.lit(0), "y1")

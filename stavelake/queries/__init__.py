@@ -34,6 +34,6 @@ def register(name: str, oracle: Optional[str] = None):
 
 def load_all() -> None:
     from . import (  # noqa: F401
-        aggregates, corrections, events, folds, geometry, islands, joins, layout, raster,
-        sources, validation, votes,
+        aggregates, corrections, events, folds, geometry, islands, joins, layout, projections,
+        raster, sources, validation, votes,
     )

@@ -262,31 +262,6 @@ def _(c):
     return raster.x_domains(bands(c), c.sql(_MR), c["f_barline"], img_w=F.lit(1300), keys=KEYS)
 
 
-_AC = """SELECT rec_id,CASE WHEN k%3=0 THEN NULL ELSE CAST(k%41 AS DOUBLE)/40 END scan_ratio,CAST(k%37 AS DOUBLE)/36 ratio,CASE WHEN k%5<3 THEN CAST(k%29 AS DOUBLE)/28 END rel_ratio,
- CASE WHEN k%7<5 THEN CAST(k%31 AS DOUBLE)/10 END xpeak,CASE WHEN k%4=0 THEN CAST(k%9 AS DOUBLE)/8 END seg_pass,CASE WHEN k%2=0 THEN CAST(k%43 AS DOUBLE)/42 END scan_ext,
- CASE WHEN k%6<4 THEN CAST(k%47 AS DOUBLE)/46 END scan_top,CASE WHEN k%6>1 THEN CAST(k%53 AS DOUBLE)/52 END scan_bottom,CASE WHEN k%8>2 THEN CAST(k%59 AS DOUBLE)/58 END ext,
- CASE WHEN k%8>3 THEN CAST(k%61 AS DOUBLE)/60 END ext_top,CASE WHEN k%8>4 THEN CAST(k%67 AS DOUBLE)/66 END ext_bottom,k%10<3 divisi_top,k%10 IN (2,3,4) divisi_bottom,k%11=0 existing
-FROM (SELECT rec_id,col*31+band_idx*7+score_id*13+CAST(rec_id%1009 AS INT) k FROM {f_scan_record}) q"""
-_AC = _AC.replace("/40", "/CAST(40 AS DOUBLE)").replace("/36", "/CAST(36 AS DOUBLE)").replace("/28", "/CAST(28 AS DOUBLE)").replace("/10 ", "/CAST(10 AS DOUBLE) ").replace("/8 ", "/CAST(8 AS DOUBLE) ").replace("/42", "/CAST(42 AS DOUBLE)").replace("/46", "/CAST(46 AS DOUBLE)").replace("/52", "/CAST(52 AS DOUBLE)").replace("/58", "/CAST(58 AS DOUBLE)").replace("/60", "/CAST(60 AS DOUBLE)").replace("/66", "/CAST(66 AS DOUBLE)")
-SCAN_PARAMS = dict(
-    min_ratio=0.2, use_peak_relative=True, peak_ratio_min=0.3, rel_rescue=True, rel_rescue_min=0.1,
-    rel_rescue_xpeak_min=1.5, rel_rescue_overhang=0.8, ext_max=0.9, top_max=0.75, bottom_max=0.7,
-    xpeak_rescue=True, xpeak_min=1.2, xpeak_overhang=0.95, segment_height=4, segment_pass=0.5)
-_XOK = "(coalesce(xpeak>=1.2,false) AND (scan_top IS NULL OR scan_top<=0.95) AND (scan_bottom IS NULL OR scan_bottom<=0.95) AND (seg_pass IS NULL OR seg_pass>=0.5))"
-
-
-@register("scan_acceptance", duck(f"""
-SELECT rec_id,CASE WHEN coalesce(scan_ratio,ratio)<0.2 THEN 'scan_ratio_low'
- WHEN rel_ratio<0.3 AND rel_ratio>=0.1 AND xpeak>=1.5 AND (scan_top IS NULL OR scan_top<=0.8) AND (scan_bottom IS NULL OR scan_bottom<=0.8) THEN 'scan_ratio_rel_low_rescued_limited'
- WHEN rel_ratio<0.3 THEN 'scan_ratio_rel_low' WHEN scan_ext>=0.9 THEN 'extended_ratio_scan'
- WHEN scan_top>=0.75 AND NOT divisi_top AND NOT {_XOK} THEN 'extended_top_ratio_scan' WHEN scan_bottom>=0.7 AND NOT divisi_bottom AND NOT {_XOK} THEN 'extended_bottom_ratio_scan'
- WHEN ext>=0.9 THEN 'extended_ratio' WHEN ext_top>=0.75 THEN 'extended_top_ratio' WHEN ext_bottom>=0.7 THEN 'extended_bottom_ratio' WHEN existing THEN 'existing'
- WHEN scan_bottom>=0.7 THEN CASE WHEN divisi_bottom THEN 'accepted_bot_divisi' ELSE 'accepted_bot_xpeak' END
- WHEN scan_top>=0.75 THEN CASE WHEN divisi_top THEN 'accepted_top_divisi' ELSE 'accepted_top_xpeak' END ELSE 'accepted' END AS status FROM {{ac_}}""", {"ac_": _AC}))
-def _(c):
-    return c.sql(_AC).select("rec_id", raster.acceptance(SCAN_PARAMS).alias("status"))
-
-
 _EXI = "CASE WHEN rec_id%13=0 THEN true ELSE false END"
 
 
