@@ -310,7 +310,7 @@ def _linked(made: DataFrame, num: int, den: int, scratch: list[DataFrame]) -> Da
 
     # first rounds: each class meets the head of one of its tokens' lists in another component,
     # the one it shares most tokens with; a head is the class with the fewest tokens of its own
-    links, comp = None, None
+    links, comp, most_found = None, None, 0
     for _ in range(MEETINGS):
         named = prefix.withColumn("root", F.col("digest")) if comp is None else prefix.join(comp, "digest", "left").withColumn(
             "root", F.coalesce("root", "digest"))
@@ -331,7 +331,9 @@ def _linked(made: DataFrame, num: int, den: int, scratch: list[DataFrame]) -> Da
         comp = materialize(reached.select(F.col("node").alias("digest"), "root").distinct(), "jaccard-roots")
         release(reached)
         scratch += [found, links, comp]
-        if not more:
+        # a round that finds little leaves the rest to the join, which is exact
+        most_found = max(most_found, more)
+        if 10 * more <= most_found:
             break
 
     # what these have connected needs no more verification
