@@ -207,6 +207,25 @@ def retry_ladder(df: DataFrame) -> Column:
     )
 
 
+def retry_result(df: DataFrame) -> Column:
+    """What the deciding view of ``retry_ladder`` gives: struct(source, value, score, evidence).
+
+    Besides the ladder's columns ``df`` has j2_value / j2_score, the consensus of the jittered
+    crops, and inset_evidence.  Only the inset crop counts its own evidence; every other retry
+    keeps that of the baseline.
+    """
+    c = F.col
+    source = retry_ladder(df)
+    view = lambda n, value, score, evidence: (n, F.struct(
+        F.lit(n).alias("source"), value.alias("value"), score.alias("score"), evidence.alias("evidence")))
+    own = [view("baseline", c("value"), c("score"), c("evidence")), view("inset", c("inset_value"), c("inset_score"), c("inset_evidence"))]
+    own += [view(n, c(f"{n}_value"), c(f"{n}_score"), c("evidence")) for n in ("j2", "calibrated", "full_span", "shifted")]
+    out = F.lit(None)
+    for n, s in own:
+        out = F.when(source == n, s).otherwise(out)
+    return out
+
+
 def support_decision(prob: Column, primary: Column, alternate: Column, fallback: Column) -> Column:
     """Decision over three support views: struct(status, value, score).
 

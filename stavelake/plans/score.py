@@ -5,9 +5,10 @@ from __future__ import annotations
 from typing import NamedTuple, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import KEYS
-from ..operators import islands, joins, numbering
+from ..operators import corrections, islands, joins, numbering
 from ..session import materialize
 
 
@@ -73,3 +74,42 @@ def number_corpus(
     if stage:
         measures = materialize(measures, "measures")
     return numbering.number_measures(measures, boundaries, start=start, keys=keys)
+
+
+def rerun_numbering(
+    old: DataFrame,
+    old_pages: DataFrame,
+    touched: DataFrame,
+    staff: DataFrame,
+    bar: DataFrame,
+    connector: DataFrame | None,
+    overrides: DataFrame | None,
+    boundaries: DataFrame | None,
+    pages: DataFrame,
+    *,
+    start: int = 1,
+    keys: Sequence[str] = KEYS,
+    **options,
+) -> DataFrame:
+    """Number a corpus again after corrections on the pages of ``touched``; adds ``reused``.
+
+    Only touched pages are laid out again; of all others the measures of the last result
+    ``old`` (system, measure, box, skip, set_number, number) go straight into the running
+    number.  A page whose start, next number and place before the first boundary agree with
+    ``old_pages`` is reused: its rows are those of the old result.
+    """
+    here = touched.select(*keys).distinct()
+    only = lambda df: df.join(here, list(keys), "left_semi")
+    lay = layout(only(staff), only(bar), None if connector is None else only(connector), keys=keys, stage=True, **options)
+    cols = [*keys, "system", "measure", "x1", "y1", "x2", "y2", "skip", "set_number"]
+    fresh = numbering.apply_overrides(lay.intervals, None if overrides is None else only(overrides), keys).select(*cols)
+    rest = old.join(here, list(keys), "left_anti")
+    every = materialize(fresh.unionByName(rest.select(*cols)), "measures")
+    after = numbering.page_numbers(every, pages, boundaries, start=start, keys=keys)
+    first = boundaries if boundaries is not None else pages.where(F.lit(False))
+    flags = materialize(corrections.page_reuse(old_pages, after, here, first, keys=keys).select(*keys, "reused"), "reused-pages")
+    kept = flags.where("reused").select(*keys)
+    numbered = numbering.number_measures(every, boundaries, start=start, keys=keys)
+    out = [*cols, "number"]
+    return numbered.join(kept, list(keys), "left_anti").select(*out, F.lit(False).alias("reused")).unionByName(
+        old.join(kept, list(keys), "left_semi").select(*out, F.lit(True).alias("reused")))

@@ -1,5 +1,7 @@
 """Corrections, boundary decisions and incremental recompute."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import KEYS
@@ -7,6 +9,7 @@ from ..fixtures import duck
 from ..functions import geometry as g
 from ..operators import corrections as cor
 from ..operators import joins, numbering
+from ..plans import score
 from ..session import materialize
 from . import register
 from .joins import EXP, _OLD, base_measures, detections, old_measures
@@ -247,9 +250,10 @@ def _(c):
     return cor.selective_merge(o.where("kind = 'auto'"), o.where("op = 'force_measure'")).drop("set_number")
 
 
-def _variant(view: str, text: str, suffix: str) -> dict:
-    """Copies of the views that depend on ``view``, with that one replaced."""
-    out, names = {view + suffix: text}, {view}
+def _variant(view: str, text: str, suffix: str, **more: str) -> dict:
+    """Copies of the views that depend on ``view`` (or those of ``more``), with these replaced."""
+    new = {view: text, **more}
+    out, names = {k + suffix: v for k, v in new.items()}, set(new)
     changed = True
     while changed:
         changed = False
@@ -257,10 +261,11 @@ def _variant(view: str, text: str, suffix: str) -> dict:
             if k not in names and any("{%s}" % n in v for n in names):
                 names.add(k)
                 changed = True
-    for k in names - {view}:
+    for k in names - set(new):
         v = LAY[k]
         for n in names:
             v = v.replace("{%s}" % n, "{%s%s}" % (n, suffix))
+        v = re.sub(rf"(?<!\{{)\b{k}\b", k + suffix, v)  # a view that recurses on itself
         out[k + suffix] = v
     return out
 
@@ -289,6 +294,28 @@ def _(c):
     return cor.page_reuse(run(ov), run(new_ov), touched, c["f_boundary"])
 
 
+# a correction adds the second detector's bars and drops the overrides of the pages that it touches
+_NEW_BAR = f"""SELECT score_id,page_index,det_id,x1,y1,x2,y2,score FROM {{f_barline}} UNION ALL SELECT a.score_id,a.page_index,a.ord,a.x1,a.y1,a.x2,a.y2,0e0 FROM {{f_extra_bar}} a
+ WHERE EXISTS (SELECT 1 FROM {{touched_}} b WHERE {ON})"""
+
+
+@register("rerun_numbering", duck(f"""
+SELECT n.score_id,n.page_index,n.system,n.measure,n.x1,n.y1,n.x2,n.y2,n.skip,n.number,
+ t.score_id IS NULL AND coalesce(n.page_index<f.fb,true) AND a.st=b.st AS reused
+FROM {{o_num_w}} n JOIN {{pgn_b}} b USING (score_id,page_index) JOIN {{pgn_a}} a USING (score_id,page_index) LEFT JOIN {{touched_}} t USING (score_id,page_index)
+ LEFT JOIN (SELECT score_id,min(page_index) fb FROM {{f_boundary}} GROUP BY 1) f USING (score_id)""",
+    {**LAY, "touched_": _TOUCHED, **_variant("o_ov", _NEW_OV, "_w", f_barline=_NEW_BAR), "pgn_a": _PGN.replace("{NUM}", "{o_num}"), "pgn_b": _PGN.replace("{NUM}", "{o_num_w}")}))
+def _(c):
+    """Corrected pages are laid out again, all others read from the old result; equal to numbering everything anew."""
+    old_measures_ = materialize(numbering.apply_overrides(_layout(c).intervals, merged_overrides(c)), "measures")
+    old = materialize(numbering.number_measures(old_measures_, c["f_boundary"]), "numbered")
+    old_pages = numbering.page_numbers(old_measures_, c["f_page"], c["f_boundary"])
+    touched = c.sql(_TOUCHED)
+    bars = c["f_barline"].select(*KEYS, *g.BOX).unionByName(c["f_extra_bar"].join(touched, list(KEYS), "left_semi").select(*KEYS, *g.BOX))
+    overrides = merged_overrides(c).join(touched, list(KEYS), "left_anti")
+    return score.rerun_numbering(old, old_pages, touched, c["f_staff"], bars, c["f_connector"], overrides, c["f_boundary"], c["f_page"]).drop("set_number")
+
+
 _PERS = f"""SELECT {PG},CASE WHEN page_index%7=0 THEN 'v0' ELSE 'final.v1' END schema_version,CASE WHEN page_index%5=1 THEN 'raw' ELSE 'compact' END system_index_contract,
  n_staves*page_index start_number,n_staves*page_index+9 next_number,CASE WHEN page_index%3=0 THEN '[]' ELSE concat('[',CAST(n_staves AS VARCHAR(9)),']') END boundaries FROM {{f_page}}"""
 _EXPE = f"""SELECT {PG},n_staves*page_index+CASE WHEN score_id%6=0 THEN 1 ELSE 0 END start_number,CASE WHEN page_index%3=0 OR score_id%4=1 THEN '[]' ELSE concat('[',CAST(n_staves AS VARCHAR(9)),']') END boundaries FROM {{f_page}}"""

@@ -70,24 +70,25 @@ def _(c):
 # ---- the same results from a stream --------------------------------------------------
 
 
-def _stream(c, name, files=3):
-    """Events written to the shared folder in order of time and read back one file per micro-batch."""
+def _stream(c, name, rows=None, slices=3, files=4):
+    """Events written to the shared folder in order of time, some files of whole jobs a slice, and read one slice per micro-batch."""
     import uuid
 
     from ..session import shared_dir
     from ..streaming import progress as st
 
     root = f"{shared_dir(c.spark, 'streams')}/{name}-{uuid.uuid4().hex}"
-    rows = progress(c).select("job_id", "event_id", "us", "sequence", "kind", "stage_id", "completed_units", "total_units")
-    edges = rows.approxQuantile("us", [k / files for k in range(1, files)], 0.01) or [0.0] * (files - 1)
-    for k in range(files):  # the source takes files in the order in which they were written
+    if rows is None:
+        rows = progress(c).select("job_id", "event_id", "us", "sequence", "kind", "stage_id", "completed_units", "total_units")
+    edges = rows.approxQuantile("us", [k / slices for k in range(1, slices)], 0.01) or [0.0] * (slices - 1)
+    for k in range(slices):  # the source takes files in the order in which they were written
         part = rows
         if k:
             part = part.where(rows["us"] > edges[k - 1])
-        if k < files - 1:
+        if k < slices - 1:
             part = part.where(rows["us"] <= edges[k])
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return st, st.read_events(c.spark, f"{root}/in", files_per_trigger=1), root
+        part.repartition(files, "job_id").write.mode("append").parquet(f"{root}/in")
+    return st, c.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in"), root
 
 
 def _collect(c, st, stream, root, schema, mode="append"):
@@ -117,6 +118,26 @@ def _(c):
         F.max_by("total_units", "at").alias("total_units"))
 
 
+@register("streamed_stage_spans", duck("""
+SELECT job_id,stage_id,event_id,CASE WHEN nk='stage_completed' THEN 'completed' ELSE 'aborted' END AS state,CASE WHEN nk='stage_completed' THEN CAST(floor((epoch_us(nt)-epoch_us(ts))/1000) AS BIGINT) END AS elapsed_ms FROM (
+ SELECT *, lead(kind) OVER w nk, lead(ts) OVER w nt FROM {f_progress} WHERE kind IN ('stage_started','stage_completed') WINDOW w AS (PARTITION BY job_id,stage_id ORDER BY ts,event_id)) WHERE kind='stage_started'"""))
+def _(c):
+    st, events, root = _stream(c, "spans")
+    changes = _collect(c, st, st.stage_spans(events), root,
+                       "job_id bigint, stage_id string, event_id bigint, state string, elapsed_ms bigint, revision int")
+    return st.closed_spans(changes)
+
+
+@register("streamed_cpu_percentages", duck("""
+SELECT job_id,event_id,round(CASE WHEN pt IS NOT NULL THEN greatest(cpu_seconds-pc,0)/greatest((epoch_us(ts)-epoch_us(pt))/1e6,1e-9)*100 END,6) AS cpu_percent FROM (
+ SELECT *, lag(ts) OVER w pt, lag(cpu_seconds) OVER w pc FROM {cpu_} WINDOW w AS (PARTITION BY job_id ORDER BY ts,event_id))""", {"cpu_": _CPU}))
+def _(c):
+    rows = c.sql(_CPU).select("job_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "cpu_seconds")
+    st, samples, root = _stream(c, "cpu", rows)
+    out = _collect(c, st, st.cpu_percent(samples), root, "job_id bigint, event_id bigint, cpu_percent double")
+    return out.withColumn("cpu_percent", R6(F.col("cpu_percent")))
+
+
 @register("streamed_current_overrides", duck("""
 SELECT score_id,page_index,system,measure,max(ord) AS ord,arg_max(op,ord) AS op,arg_max(skip,ord) AS skip FROM {f_override} GROUP BY ALL"""))
 def _(c):

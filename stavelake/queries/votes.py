@@ -155,6 +155,27 @@ def _(c):
     return w.select(*M, votes.retry_ladder(w).alias("source"))
 
 
+_SRC = """CASE WHEN prob<=0.5 OR (prob<0.6 AND baseline_evidence>=2) THEN 'j2' WHEN baseline_value IS NULL AND inset_value>=2 AND inset_score>0 THEN 'inset'
+ WHEN baseline_value IS NOT NULL AND baseline_score>5 THEN CASE WHEN left_wide AND calibrated_value>=2 AND calibrated_score>0 THEN 'calibrated' ELSE 'baseline' END
+ WHEN full_span_value>=2 AND full_span_score>0 THEN 'full_span' WHEN shifted_value>=2 AND shifted_score>0 THEN 'shifted' WHEN baseline_value IS NULL THEN 'baseline' ELSE 'j2' END"""
+_OF = lambda k, j2: f"CASE source WHEN 'j2' THEN {j2} " + " ".join(f"WHEN '{n}' THEN {n}_{k}" for n in ("baseline", "inset", "calibrated", "full_span", "shifted")) + " END"
+
+
+@register("retry_results", duck(f"""
+SELECT {MK},source,{_OF("value", "CASE WHEN rep THEN mv ELSE bv END")} AS value,{_OF("score", "CASE WHEN rep THEN ms ELSE bs END")} AS score,
+ CASE WHEN source='inset' THEN inset_evidence ELSE baseline_evidence END AS evidence
+FROM (SELECT *, {_SRC} source FROM {{w_}} JOIN {{f_measure_prob}} USING ({MK})) LEFT JOIN {{j2_}} USING ({MK})""", _W))
+def _(c):
+    """Value, score and one-bar evidence of the view that decides each measure."""
+    w = _wide(c)
+    for n in ("value", "score", "evidence"):
+        w = w.withColumn(n, F.col(f"baseline_{n}"))
+    j2 = votes.jitter_consensus(c.sql(_VT).where("view_no < 5"), M).select(
+        *M, F.col("value").alias("j2_value"), F.col("score").alias("j2_score"))
+    w = w.join(j2, M, "left")
+    return w.select(*M, votes.retry_result(w).alias("r")).select(*M, "r.*")
+
+
 def _dec(p):
     return _DEC.replace("val", f"{p}_value").replace("sc<", f"{p}_score<").replace("sc>", f"{p}_score>").replace("evidence", f"{p}_evidence")
 

@@ -1,17 +1,19 @@
 """Structured Streaming over progress events and correction logs.
 
-Per-job state is a handful of scalars.  Rows of one micro-batch are ordered by arrival time
-(``us``, ``event_id``) before they touch the state; the trigger size bounds a batch.
+Per-job state is a handful of scalars that expire when a job falls silent.  Rows of one micro-batch
+are ordered by arrival time (``us``, ``event_id``) and handled as arrays before they touch the state;
+the trigger size bounds a batch.
 """
 
 from __future__ import annotations
 
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import validate
 
@@ -39,71 +41,112 @@ def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
 
 
-def _check_sequence(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, ended, broken = state.get if state.exists else (None, False, False)
-    out = []
-    for r in _ordered(frames).itertuples(index=False):
-        why = None
-        if last is not None and r.sequence <= last:
-            why = "sequence_not_increasing"
-        elif ended:
-            why = "event_after_terminal"
-        if why and not broken:
-            out.append((key[0], r.event_id, why))
-            broken = True
-        last, ended = int(r.sequence), r.kind in validate.TERMINAL
-    state.update((last, ended, broken))
-    yield pd.DataFrame(out, columns=["job_id", "event_id", "violation"])
-
-
-def validate_progress(events: DataFrame) -> DataFrame:
-    """First sequence violation per job, emitted when it arrives."""
-    return events.groupBy("job_id").applyInPandasWithState(
-        _check_sequence, "job_id bigint, event_id bigint, violation string",
-        "last bigint, ended boolean, broken boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def _pair_spans(timeout_ms: int):
-    def fn(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cols = ["job_id", "stage_id", "event_id", "state", "elapsed_ms"]
-        if state.hasTimedOut:
-            start_id, _ = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], key[1], start_id, "aborted", None)], columns=cols)
-            return
-        start = state.get if state.exists else None
-        out = []
-        for r in _ordered(frames).itertuples(index=False):
-            if r.kind == "stage_started":
-                if start is not None:
-                    out.append((key[0], key[1], start[0], "aborted", None))
-                start = (int(r.event_id), int(r.us))
-            elif r.kind == "stage_completed" and start is not None:
-                out.append((key[0], key[1], start[0], "completed", (int(r.us) - start[1]) // 1000))
-                start = None
-        if start is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(start)
-            state.setTimeoutDuration(timeout_ms)
-        df = pd.DataFrame(out, columns=cols)
-        df["elapsed_ms"] = df["elapsed_ms"].astype("Int64")
-        yield df
-
-    return fn
-
-
-def stage_spans(events: DataFrame, *, timeout_ms: int = 3_600_000) -> DataFrame:
-    """Completed and aborted stage spans.
-
-    A stream knows an abort only by absence: a span still open after ``timeout_ms`` of
-    processing time is reported as aborted (an approximation of the batch operator).
+class _Sequence(StatefulProcessor):
+    """Last sequence number of a job, whether it has ended, and whether a violation was reported."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("sequence", "last bigint, ended boolean, broken boolean", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        e = _ordered(rows)
+        last, ended, broken = self.state.get() if self.state.exists() else (None, False, False)
+        seq, ends = e["sequence"].to_numpy(np.int64), e["kind"].isin(validate.TERMINAL).to_numpy()
+        falls = seq <= np.append(seq[0] - 1 if last is None else last, seq[:-1])
+        after = np.append(ended, ends[:-1])
+        bad = np.flatnonzero(falls | after)
+        if len(bad) and not broken:
+            why = "sequence_not_increasing" if falls[bad[0]] else "event_after_terminal"
+            yield pd.DataFrame({"job_id": [key[0]], "event_id": [e["event_id"].iloc[bad[0]]], "violation": [why]})
+        self.state.update((int(seq[-1]), bool(ends[-1]), bool(broken or len(bad))))
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(events: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    return events.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="processingTime")
+
+
+#: How long the state of a silent job is kept.
+KEEP_MS = 7 * 24 * 3_600_000
+
+
+def validate_progress(events: DataFrame, *, keep_ms: int = KEEP_MS) -> DataFrame:
+    """First sequence violation per job, emitted when it arrives; a job silent for ``keep_ms`` is forgotten."""
+    return _stateful(events, ["job_id"], _Sequence(keep_ms), "job_id bigint, event_id bigint, violation string")
+
+
+class _Spans(StatefulProcessor):
+    """The open start of a stage; after the timeout a tombstone, so that a late completion still corrects it."""
+
+    COLS = ["job_id", "stage_id", "event_id", "state", "elapsed_ms", "revision"]
+
+    def __init__(self, timeout_ms: int, keep_ms: int):
+        self.timeout_ms, self.keep_ms = timeout_ms, keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "event_id bigint, us bigint, told boolean, deadline bigint", self.keep_ms)
+
+    def _rows(self, key, ids, states, elapsed, revisions) -> pd.DataFrame:
+        return pd.DataFrame({"job_id": key[0], "stage_id": key[1], "event_id": np.asarray(ids, np.int64), "state": states,
+                             "elapsed_ms": pd.array(elapsed, "Int64"), "revision": np.asarray(revisions, np.int32)})[self.COLS]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        e = _ordered(rows)
+        ids, us = e["event_id"].to_numpy(np.int64), e["us"].to_numpy(np.int64)
+        starts = (e["kind"] == "stage_started").to_numpy()
+        revision = np.ones(len(ids), np.int32)
+        if self.open.exists():
+            first_id, first_us, told, _ = self.open.get()
+            ids, us, starts = np.append(first_id, ids), np.append(first_us, us), np.append(True, starts)
+            revision = np.append(2 if told else 1, revision).astype(np.int32)
+        at = np.flatnonzero(starts[:-1])
+        done = ~starts[at + 1]
+        elapsed = pd.Series((us[at + 1] - us[at]) // 1000, dtype="Int64").where(done)
+        out = [self._rows(key, ids[at], np.where(done, "completed", "aborted"), elapsed, revision[at])]
+        if starts[-1]:
+            deadline = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
+            self.open.update((int(ids[-1]), int(us[-1]), False, deadline))
+            self.handle.registerTimer(deadline)
+            if len(ids) == 1 or at.tolist()[-1:] != [len(ids) - 1]:
+                out.append(self._rows(key, ids[-1:], ["open"], [pd.NA], [0]))
+        elif self.open.exists():
+            self.open.clear()
+        yield pd.concat(out, ignore_index=True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists():
+            event_id, us, told, deadline = self.open.get()
+            if not told and deadline <= expiredTimerInfo.getExpiryTimeInMs():
+                self.open.update((event_id, us, True, deadline))
+                yield self._rows(key, [event_id], ["aborted"], [pd.NA], [1])
+
+    def close(self) -> None:
+        pass
+
+
+def stage_spans(events: DataFrame, *, timeout_ms: int = 3_600_000, keep_ms: int = KEEP_MS) -> DataFrame:
+    """Changes of stage spans: ``open`` (revision 0), ``completed`` or ``aborted`` (1), and corrections (2).
+
+    A span still open after ``timeout_ms`` of processing time is reported as aborted; its
+    start is kept as a tombstone, and a completion that comes late corrects the report.  State
+    is one start per job and stage, and expires ``keep_ms`` after its last change.
     """
     e = events.where(F.col("kind").isin("stage_started", "stage_completed"))
-    return e.groupBy("job_id", "stage_id").applyInPandasWithState(
-        _pair_spans(timeout_ms), "job_id bigint, stage_id string, event_id bigint, state string, elapsed_ms bigint",
-        "start_id bigint, start_us bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _stateful(e, ["job_id", "stage_id"], _Spans(timeout_ms, keep_ms),
+                     "job_id bigint, stage_id string, event_id bigint, state string, elapsed_ms bigint, revision int")
+
+
+def closed_spans(changes: DataFrame) -> DataFrame:
+    """The last state of every span of a change log; what is still open when the stream ends counts as aborted."""
+    last = changes.groupBy("job_id", "stage_id", "event_id").agg(F.max_by(F.struct("state", "elapsed_ms"), "revision").alias("s"))
+    return last.select("job_id", "stage_id", "event_id", F.when(F.col("s.state") == "open", "aborted").otherwise(F.col("s.state")).alias("state"),
+                       F.col("s.elapsed_ms").alias("elapsed_ms"))
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
@@ -117,24 +160,36 @@ def latest_progress(events: DataFrame) -> DataFrame:
         F.max_by("total_units", at).alias("total_units"))
 
 
-def _cpu(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    prev = state.get if state.exists else None
-    out = []
-    for r in _ordered(frames).itertuples(index=False):
-        pct = None
-        if prev is not None:
-            pct = max(r.cpu_seconds - prev[1], 0.0) / max((r.us - prev[0]) / 1e6, 1e-9) * 100.0
-        out.append((key[0], r.event_id, pct))
-        prev = (int(r.us), float(r.cpu_seconds))
-    state.update(prev)
-    yield pd.DataFrame(out, columns=["job_id", "event_id", "cpu_percent"])
+class _Cpu(StatefulProcessor):
+    """Time and CPU seconds of the last sample of a job."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("sample", "us bigint, cpu double", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        e = _ordered(rows)
+        us, cpu = e["us"].to_numpy(np.int64), e["cpu_seconds"].to_numpy(np.float64)
+        known = self.last.exists()
+        before = self.last.get() if known else (int(us[0]), float(cpu[0]))
+        used = np.maximum(cpu - np.append(before[1], cpu[:-1]), 0.0)
+        took = np.maximum((us - np.append(before[0], us[:-1])) / 1e6, 1e-9)
+        percent = used / took * 100.0
+        if not known:
+            percent[0] = np.nan
+        self.last.update((int(us[-1]), float(cpu[-1])))
+        yield pd.DataFrame({"job_id": key[0], "event_id": e["event_id"], "cpu_percent": [None if np.isnan(x) else x for x in percent]}).astype(
+            {"cpu_percent": "Float64"})
+
+    def close(self) -> None:
+        pass
 
 
-def cpu_percent(samples: DataFrame) -> DataFrame:
-    """CPU % between successive cumulative samples of a job."""
-    return samples.groupBy("job_id").applyInPandasWithState(
-        _cpu, "job_id bigint, event_id bigint, cpu_percent double", "us bigint, cpu double", "append",
-        GroupStateTimeout.NoTimeout)
+def cpu_percent(samples: DataFrame, *, keep_ms: int = KEEP_MS) -> DataFrame:
+    """CPU % between successive cumulative samples of a job; NULL for the first one."""
+    return _stateful(samples, ["job_id"], _Cpu(keep_ms), "job_id bigint, event_id bigint, cpu_percent double")
 
 
 # ---- sinks ---------------------------------------------------------------------------
@@ -188,14 +243,19 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     Batches without data are switched off for the run: a processing-time timeout would ask
     for another one forever.
     """
-    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(key)
-    conf.set(key, "false")
+    conf = stream.sparkSession.conf
+    own = {"spark.sql.streaming.noDataMicroBatches.enabled": "false",
+           # state with timers and expiry lives in this store
+           "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    before = {k: conf.get(k) for k in own}
+    for k, v in own.items():
+        conf.set(k, v)
     try:
         q = (
             stream.writeStream.outputMode(mode).foreachBatch(sink)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         )
     finally:
-        conf.set(key, before)
+        for k, v in before.items():
+            conf.set(k, v)
     q.awaitTermination()
