@@ -22,6 +22,7 @@ row_clusters mask_bands x_cluster_filter stripe_signal local_contrast scan_accep
 staff_votes rest_decisions retry_ladder support_view_decisions correction_record_violations job_result_violations
 page_selections render_budget page_inventory detection_documents_strict override_documents page_manifest
 sequence_violations stage_spans cpu_percentages scan_totals review_package_states streamed_sequence_violations
+band_projections band_profiles divisi_positions probe_scan retry_results merged_ocr_tokens streamed_stage_spans streamed_cpu_percentages
 """.split()
 NAMES = list(entry.oracle_sql()) if os.environ.get("ORACLES") == "all" else QUICK
 
