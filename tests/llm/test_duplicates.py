@@ -222,3 +222,15 @@ def test_self_hits_do_not_pass_the_audit(monkeypatch):
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_vectors(df).count() == 0
+
+
+def test_rows_not_ids_are_kept(spark):
+    rng = random.Random(8)
+    a, b = sentence(rng, 200, 5000), sentence(rng, 200, 5000)
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a, "s"), (3, b, "s"), (3, near, "s"), (None, "copies without an id stand here", "s"), (None, "copies without an id stand here", "s"), (9, None, "s"), (9, None, "s")]
+    named = make_docs(spark, rows).withColumns({"_gone": F.lit(1), "_again": F.lit(2), "_row_0": F.lit(3)})
+    kept = jaccard.first_of_groups(named)
+    assert kept.columns == named.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(1, a), (3, b), (None, "copies without an id stand here"), (9, None), (9, None)], key=str)
