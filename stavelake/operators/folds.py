@@ -155,6 +155,39 @@ def dedup_strokes(
     )
 
 
+def components(
+    df: DataFrame, keys: Sequence[str], x: tuple[Column, Column], y: tuple[Column, Column], tie: Sequence[str], rounds: int = 2,
+) -> tuple[DataFrame, list[str]]:
+    """Columns that number the groups of rows whose ranges can touch on both axes.
+
+    A sweep along one axis cuts where no range reaches further; the next sweeps the other axis within
+    each group, so a column of bars one above the other falls apart although all share their x. Every
+    sweep reads the partitions of the first.
+    """
+    at = (("_xa", "_xb"), ("_ya", "_yb"))
+    df = df.select("*", *(c.alias(n) for pair, names in zip((x, y), at) for c, n in zip(pair, names)))
+    groups: list[str] = []
+    for turn in range(rounds):
+        for axis, (lo, hi) in zip("xy", at):
+            w = Window.partitionBy(*keys, *groups).orderBy(lo, *tie)
+            reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+            df = df.withColumn("_k", F.col(lo) > reach)
+            df = _islands(df, [*keys, *groups], [lo, *tie], F.col("_k")).drop("_k")
+            groups.append(f"_{axis}{turn}")
+            df = df.withColumnRenamed("_isl", groups[-1])
+    return df.drop("_xa", "_xb", "_ya", "_yb"), groups
+
+
+def _inner(a: Column, b: Column, share: float) -> tuple[Column, Column]:
+    """The middle of a range without ``share`` of its length.
+
+    Ranges that overlap by ``share`` of the longer one still touch in their middles.
+    """
+    lo, hi = F.least(a, b), F.greatest(a, b)
+    cut = (hi - lo) * F.lit(share / 2.0)
+    return lo + cut - F.lit(1e-6), hi - cut + F.lit(1e-6)
+
+
 def nms(
     scored: DataFrame,
     *,
@@ -165,29 +198,24 @@ def nms(
 ) -> DataFrame:
     """Greedy suppression by score; suppressed rows keep their place with score 0.
 
-    A better box suppresses one with padded IoU ≥ ``iou``, or with centres closer than its
-    quarter height and vertical overlap ≥ 0.5.  Independent components come from a sweep
-    over the x-range in which a box can act.
+    A better box suppresses one with padded IoU ≥ ``iou`` (at most 1), or with centres closer than its
+    quarter height and vertical overlap ≥ 0.5.  Copies of a box are counted first: the best of them
+    stands for all, and no other can be kept.  Boxes are folded by components that cannot
+    conflict (:func:`components`), an array each.
     """
+    rows = scored.groupBy(*keys, *g.BOX, id_col, "score").agg(F.count(F.lit(1)).alias("n"))
+    place = F.struct((-F.col("score")).alias("ns"), F.col(id_col).alias("id"))
     b = g.box()
     unit = F.greatest(F.lit(1.0), F.greatest(F.lit(1.0), F.abs(b.y2 - b.y1)) / 4.0)
-    e = g.expand_box(b)
-    reach = unit * x_unit_ratio
-    s = scored.select(
-        *keys, id_col, "score", *g.BOX, *(c.alias(f"e_{n}") for c, n in zip(e, g.BOX)),
-        reach.alias("reach"),
-        F.least(e.x1, g.center_x(b) - reach).alias("lo"),
-        F.greatest(e.x2, g.center_x(b) + reach).alias("hi"),
-    )
-    w = Window.partitionBy(*keys).orderBy("lo", id_col)
-    prev = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    s = _islands(s.withColumn("_k", F.coalesce(F.col("lo") > prev, F.lit(False))), keys,
-                 ["lo", id_col], F.col("_k"))
-    item = F.struct((-F.col("score")).alias("ns"), F.col(id_col).alias("id"), *g.BOX,
-                    *(f"e_{n}" for n in g.BOX), "reach")
-    arr = s.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list(item)).alias("a"))
-    # rows are told apart by their place in the fold: ids may repeat
-    arr = arr.withColumn("a", F.transform("a", lambda v, i: v.withField("k", i)))
+    s = rows.groupBy(*keys, *g.BOX).agg(F.min(place).alias("best")).select(
+        *keys, "best", *g.BOX, *(c.alias(f"e_{n}") for c, n in zip(g.expand_box(b), g.BOX)), (unit * x_unit_ratio).alias("reach"))
+    e, cx = g.box("e_"), g.center_x(b)
+    ex, ey, by = _inner(e.x1, e.x2, iou), _inner(e.y1, e.y2, iou), _inner(b.y1, b.y2, 0.5)
+    s, groups = components(
+        s, keys, (F.least(ex[0], cx - F.col("reach")), F.greatest(ex[1], cx + F.col("reach"))),
+        (F.least(ey[0], by[0]), F.greatest(ey[1], by[1])), g.BOX)
+    item = F.struct("best", *g.BOX, *(f"e_{n}" for n in g.BOX), "reach")
+    arr = s.groupBy(*keys, *groups).agg(F.array_sort(F.collect_list(item)).alias("a"))
     pe = lambda v: g.Box(*(v[f"e_{n}"] for n in g.BOX))
 
     def hits(k, v):
@@ -200,13 +228,14 @@ def nms(
         lambda acc, v: F.when(F.exists(acc, lambda k: hits(k, v)), acc).otherwise(
             F.concat(acc, F.array(v))),
     )
-    won = arr.select(*keys, "a", F.transform(kept, lambda k: k["k"]).alias("won"))
-    return won.select(*keys, F.explode("a").alias("v"), "won").select(
-        *keys, "v", F.array_contains("won", F.col("v.k")).alias("kept")
-    ).select(
-        *keys, F.col("v.id").alias(id_col), *(F.col(f"v.{n}").alias(n) for n in g.BOX), "kept",
-        F.when(F.col("kept"), -F.col("v.ns")).otherwise(F.lit(0.0)).alias("score"),
-    )
+    won = arr.select(*keys, F.explode(kept).alias("v")).select(
+        *keys, *(F.col(f"v.{n}").alias(n) for n in g.BOX), F.col("v.best").alias("best"))
+    out = rows.join(won, [*keys, *g.BOX], "left").withColumn(
+        "won", F.col("best").isNotNull() & (place == F.col("best")))
+    # of rows equal in everything, one is kept
+    out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).withColumn(
+        "kept", F.col("won") & (F.col("copy") == 1))
+    return out.select(*keys, id_col, *g.BOX, "kept", F.when(F.col("kept"), F.col("score")).otherwise(F.lit(0.0)).alias("score"))
 
 
 def merge_extra(
@@ -222,13 +251,12 @@ def merge_extra(
     reach = 2.0 * scale
     a = existing.select(*keys, *g.BOX, F.col("ord").cast("bigint").alias("ord"), F.lit(False).alias("x"))
     b = extra.select(*keys, *g.BOX, F.col("ord").cast("bigint").alias("ord"), F.lit(True).alias("x"))
-    u = a.unionByName(b).withColumn("c2", F.col("x1") + F.col("x2"))
-    w = Window.partitionBy(*keys).orderBy("c2", "x", "ord")
-    brk = (F.col("c2") - F.lag("c2").over(w)) / 2.0 > reach
-    u = _islands(u.withColumn("_k", F.coalesce(brk, F.lit(False))), keys, ["c2", "x", "ord"],
-                 F.col("_k"))
+    u = a.unionByName(b)
+    box = g.box()
+    cx, cy, h = g.center_x(box), g.center_y(box), F.greatest(g.height(box), F.lit(1))
+    u, groups = components(u, keys, (cx - reach / 2.0, cx + reach / 2.0), (cy - h, cy + h), ["x", "ord"])
     item = F.struct("ord", *g.BOX, "x")
-    arr = u.groupBy(*keys, "_isl").agg(
+    arr = u.groupBy(*keys, *groups).agg(
         F.array_sort(F.collect_list(F.when(~F.col("x"), item))).alias("p"),
         F.array_sort(F.collect_list(F.when(F.col("x"), item))).alias("e"),
     )

@@ -60,19 +60,18 @@ def last_success(attempts: DataFrame, keys: Sequence[str] = ("package_id",)) ->
 
 def stage_spans(
     events: DataFrame, *, keys: Sequence[str] = ("job_id",), order: Sequence[str] = ("us", "event_id"),
-    block_us: int = 3_600_000_000,
 ) -> DataFrame:
     """Pair every stage start with the next start/completion of the same stage.
 
     A start followed by its completion is ``completed`` with the elapsed milliseconds,
-    everything else ``aborted``.  The look-ahead runs over time blocks, so one busy job is
-    not one window partition.
+    everything else ``aborted``.  The look-ahead runs over blocks of similar size, so one
+    busy job is not one window partition.
     """
     e = events.where(F.col("kind").isin("stage_started", "stage_completed"))
     e = e.withColumns({f"_o{i}": -F.col(c) for i, c in enumerate(order)})
     e = scan.previous(
         e, [*keys, "stage_id"], [f"_o{i}" for i in range(len(order))],
-        -F.floor(F.col("us") / block_us), F.struct("kind", "us"), "nxt")
+        F.struct("kind", "us"), "nxt")
     done = F.col("nxt.kind") == "stage_completed"
     return e.where("kind = 'stage_started'").select(
         *keys, "stage_id", *order,
@@ -80,12 +79,9 @@ def stage_spans(
         F.when(done, F.floor((F.col("nxt.us") - F.col("us")) / 1000).cast("bigint")).alias("elapsed_ms"))
 
 
-def cpu_percent(
-    samples: DataFrame, *, keys: Sequence[str] = ("job_id",), block_us: int = 3_600_000_000
-) -> DataFrame:
+def cpu_percent(samples: DataFrame, *, keys: Sequence[str] = ("job_id",)) -> DataFrame:
     """CPU % between successive cumulative samples (``us``, ``event_id``, ``cpu_seconds``)."""
-    s = scan.previous(samples, list(keys), ["us", "event_id"], F.floor(F.col("us") / block_us),
-                      F.struct("us", "cpu_seconds"), "prev")
+    s = scan.previous(samples, list(keys), ["us", "event_id"], F.struct("us", "cpu_seconds"), "prev")
     dt = F.greatest((F.col("us") - F.col("prev.us")) / 1e6, F.lit(1e-9))
     dc = F.greatest(F.col("cpu_seconds") - F.col("prev.cpu_seconds"), F.lit(0.0))
     return s.withColumn("cpu_percent", F.when(F.col("prev").isNotNull(), dc / dt * 100.0)).drop("prev")
@@ -106,16 +102,13 @@ def latest_progress(events: DataFrame, keys: Sequence[str] = ("job_id", "stage_i
         F.max_by("total_units", at).alias("total_units"))
 
 
-def sequence_violations(
-    events: DataFrame, *, keys: Sequence[str] = ("job_id",), terminal: Column,
-    block_us: int = 3_600_000_000,
-) -> DataFrame:
+def sequence_violations(events: DataFrame, *, keys: Sequence[str] = ("job_id",), terminal: Column) -> DataFrame:
     """First violation of each event stream in arrival order (``us``, ``event_id``).
 
     Sequence numbers must strictly increase and nothing may follow a terminal event.
     """
     e = scan.previous(events.withColumn("_t", terminal), list(keys), ["us", "event_id"],
-                      F.floor(F.col("us") / block_us), F.struct("sequence", F.col("_t").alias("t")), "prev")
+                      F.struct("sequence", F.col("_t").alias("t")), "prev")
     why = F.when(F.col("sequence") <= F.col("prev.sequence"), "sequence_not_increasing").when(
         F.col("prev.t"), "event_after_terminal")
     return e.withColumn("why", why).where("why IS NOT NULL").groupBy(*keys).agg(

@@ -12,6 +12,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, *, block: int = 1024
@@ -72,43 +74,55 @@ def compose_starts(
     ).drop("_blk", "_seg", "_cum", "_base")
 
 
-def previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
-    value: Column, out: str,
-) -> DataFrame:
-    """``lag(value)`` by ``order`` within ``keys``, evaluated block by block.
+def by_count(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with ``_blk``, non-decreasing along ``order`` within ``keys``; blocks hold similar row counts.
 
-    ``block`` must be non-decreasing along ``order`` (for example an hour of the event
-    time).  Only the last row of every block crosses the block boundary.
+    The blocks are range partitions with sampled bounds, as many as the session has shuffle
+    partitions. A key of any size spreads over as many blocks as its share of the rows; rows equal
+    in keys and order share one. The sample differs between runs, so the table is written
+    once and every reader sees the same blocks.
     """
-    b = df.withColumn("_blk", block).withColumn("_val", value)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, *keys, *order)
+    return materialize(cut.withColumn("_blk", F.spark_partition_id()), "blocks")
+
+
+def _same_block(b: DataFrame, ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on block and keys; null keys meet, as they do in a window."""
+    ends = ends.select(*(F.col(k).alias(f"_e_{k}") for k in keys), F.col("_blk").alias("_e_blk"),
+                       *(c for c in ends.columns if c not in keys and c != "_blk"))
+    on = F.col("_blk") == F.col("_e_blk")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
+    return b.join(ends, on).drop("_e_blk", *(f"_e_{k}" for k in keys))
+
+
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
+    """``lag(value)`` by ``order`` within ``keys``, evaluated in blocks of similar size.
+
+    Only the last row of every block crosses the block boundary.
+    """
+    b = by_count(df.withColumn("_val", value), keys, order)
     inner = Window.partitionBy(*keys, "_blk").orderBy(*order)
     ends = b.groupBy(*keys, "_blk").agg(
         F.max_by(F.struct("_val"), F.struct(*order)).alias("_end")
     )
     bw = Window.partitionBy(*keys).orderBy("_blk")
     ends = ends.select(*keys, "_blk", F.lag("_end").over(bw).getField("_val").alias("_prev"))
-    first = F.row_number().over(inner) == 1
+    b = b.withColumn("_first", F.row_number().over(inner) == 1).withColumn("_lag", F.lag("_val").over(inner))
     return (
-        b.withColumn("_first", first)
-        .withColumn("_lag", F.lag("_val").over(inner))
-        .join(ends, [*keys, "_blk"])
+        _same_block(b, ends, keys)
         .withColumn(out, F.when(F.col("_first"), F.col("_prev")).otherwise(F.col("_lag")))
         .drop("_blk", "_val", "_first", "_lag", "_prev")
     )
 
 
-def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, out: str
-) -> DataFrame:
-    """1-based ``row_number`` by ``order`` within ``keys``, counted block by block.
-
-    ``block`` must be non-decreasing along ``order`` (for text: a fixed-length prefix).
-    """
-    b = df.withColumn("_blk", block)
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """1-based ``row_number`` by ``order`` within ``keys``, counted in blocks of similar size."""
+    b = by_count(df, keys, order)
     w = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     off = b.groupBy(*keys, "_blk").agg(F.count("*").alias("_n")).select(
         *keys, "_blk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     inner = Window.partitionBy(*keys, "_blk").orderBy(*order)
-    return b.withColumn(out, F.row_number().over(inner)).join(off, [*keys, "_blk"]).withColumn(
+    return _same_block(b.withColumn(out, F.row_number().over(inner)), off, keys).withColumn(
         out, (F.col(out) + F.col("_off")).cast("bigint")).drop("_blk", "_off")

@@ -34,13 +34,13 @@ def _(c):
     return islands.row_bands(_rows(c))
 
 
-# five thin lines per staff, some of them short, plus loose fragments
+# five thin lines per staff, some of them short, plus fragments: loose ones in every tenth score, on the lines elsewhere
 _LINES = " UNION ALL ".join(
-    f"SELECT {PG},y1+{10 * k + t} y,x1 xa,CASE WHEN (score_id+staff_index+{k})%7=0 THEN x1+150 ELSE x2 END xb FROM {{f_staff}} WHERE score_id%10<>9 AND (score_id+page_index*3+{k})%13<>1"
+    f"SELECT {PG},y1+{10 * k + t} y,x1 xa,CASE WHEN (score_id+staff_index+{k})%7=0 OR (score_id+page_index*3+{k})%13=1 THEN x1+150 ELSE x2 END xb FROM {{f_staff}}"
     for k in range(5) for t in range(2))
 _MASK = f"""SELECT {PG},y,min(xa) xa,max(xb) xb,1300 img_w,1100 img_h FROM ({_LINES}
- UNION ALL SELECT {PG},y2+22,200,260 FROM {{f_staff}} WHERE staff_index%3=1
- UNION ALL SELECT {PG},y1+CAST(det_id%40 AS INT),x1,x2+300 FROM {{f_barline}} WHERE score_id%10=9) l GROUP BY {PG},y"""
+ UNION ALL SELECT {PG},y2+22-staff_index%3,200,260 FROM {{f_staff}}
+ UNION ALL SELECT {PG},y1+CAST(CASE WHEN score_id%10=9 THEN det_id%40 ELSE 10*(det_id%4) END AS INT),x1,x2+CASE WHEN score_id%10=9 THEN 300 ELSE 0 END FROM {{f_barline}}) l GROUP BY {PG},y"""
 
 
 @register("mask_bands", duck(f"""

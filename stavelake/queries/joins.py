@@ -87,8 +87,9 @@ def _(c):
     return joins.skip_near(runs, detections(c, "omr"), joins.double_bars(runs))
 
 
-_SUP = f"""SELECT {PG},x1+2 x1,y1+6 y1,x2-1 x2,y2+9 y2 FROM {{f_staff}} WHERE (score_id+staff_index)%4<>0
- UNION ALL SELECT {PG},x1-1,y1-8,x2,y2-12 FROM {{f_staff}} WHERE (score_id+staff_index)%3=0"""
+# staves of the page as it is now: each twice, some moved too far to be taken for the same
+_SUP = f"""SELECT {PG},x1+2 x1,y1+CASE WHEN (score_id+staff_index)%4=0 THEN 24 ELSE 6 END y1,x2-1 x2,y2+CASE WHEN (score_id+staff_index)%4=0 THEN 27 ELSE 9 END y2 FROM {{f_staff}} 
+ UNION ALL SELECT {PG},x1-1,y1-CASE WHEN (score_id+staff_index)%3=0 THEN 8 ELSE 26 END,x2,y2-CASE WHEN (score_id+staff_index)%3=0 THEN 12 ELSE 30 END FROM {{f_staff}}"""
 
 
 @register("mapped_staves", duck(f"""
@@ -190,11 +191,11 @@ def _(c):
 
 
 @register("staff_overlap_filter", duck(f"""
-SELECT a.det_id FROM {{tall_}} a WHERE NOT EXISTS (SELECT 1 FROM {{d_band}} b WHERE {ON} AND b.score_id%4<>3) OR
- (SELECT max(greatest(0,least(a.y2,b.b2)-greatest(a.y1,b.b1))/CAST(greatest(1,a.y2-a.y1) AS DOUBLE)) FROM {{d_band}} b WHERE {ON} AND b.score_id%4<>3)>=0.5""",
+SELECT a.det_id FROM {{tall_}} a WHERE NOT EXISTS (SELECT 1 FROM {{d_band}} b WHERE {ON}) OR
+ (SELECT max(greatest(0,least(a.y2,b.b2)-greatest(a.y1,b.b1))/CAST(greatest(1,a.y2-a.y1) AS DOUBLE)) FROM {{d_band}} b WHERE {ON})>=0.5""",
     {**EXP, "tall_": _TALL}))
 def _(c):
-    return joins.staff_overlap_filter(c.sql(_TALL), bands(c).where("score_id % 4 <> 3")).select("det_id")
+    return joins.staff_overlap_filter(c.sql(_TALL), bands(c)).select("det_id")
 
 
 @register("aligned_measure_views", duck(f"""

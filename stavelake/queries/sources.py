@@ -19,13 +19,13 @@ _IDS = """SELECT score_id,path,row_number() OVER (PARTITION BY score_id ORDER BY
 
 @register("page_inventory", duck("SELECT score_id,path,ordinal,page_id FROM {ids_}", {"files_": _FILES, "ids_": _IDS}))
 def _(c):
-    return io.page_ids(c.sql(_FILES), block_chars=11)
+    return io.page_ids(c.sql(_FILES))
 
 
 @register("limited_pages", duck("SELECT score_id,path,ordinal,page_id FROM {ids_} WHERE ordinal<=5", {"files_": _FILES, "ids_": _IDS}))
 def _(c):
     """The first five pages of each score (the page-limit option)."""
-    return io.limit_pages(io.page_ids(c.sql(_FILES), block_chars=11), 5)
+    return io.limit_pages(io.page_ids(c.sql(_FILES)), 5)
 
 
 # one detection document per staff, in three shapes; some malformed

@@ -34,18 +34,16 @@ def list_images(spark: SparkSession, root: str, glob: str = "page_*.png") -> Dat
     )
 
 
-def page_ids(
-    files: DataFrame, *, keys: Sequence[str] = ("score_id",), prefix: str = "page", block_chars: int = 8
-) -> DataFrame:
+def page_ids(files: DataFrame, *, keys: Sequence[str] = ("score_id",), prefix: str = "page") -> DataFrame:
     """Ordered page ids of each score: the stems if all start with ``page_``, else numbered.
 
-    ``files`` has ``path``.  Ordinals are counted per stem-prefix block, so the pages of one
-    huge score do not pass through one window partition.
+    ``files`` has ``path``.  Ordinals are counted in blocks of similar size, so the pages of
+    one huge score do not pass through one window partition.
     """
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     f = files.withColumn("stem", stem)
     named = f.groupBy(*keys).agg(F.bool_and(F.col("stem").startswith("page_")).alias("_named"))
-    f = scan.row_numbers(f, list(keys), ["path"], F.left("path", F.lit(block_chars)), "ordinal")
+    f = scan.row_numbers(f, list(keys), ["path"], "ordinal")
     return f.join(named, list(keys)).select(
         *keys, "path", "ordinal",
         F.when(F.col("_named"), F.col("stem")).otherwise(F.format_string(f"{prefix}_%03d", "ordinal")).alias("page_id"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stavelake.operators import folds, numbering, scan
+from stavelake.operators import folds, joins, numbering, scan
 
 KEY = ["page"]
 
@@ -157,19 +157,47 @@ def test_blocked_lag_and_row_number(spark):
     rng = random.Random(5)
     data = [(rng.choice("aab"), t, t * 3 % 17) for t in range(200)]
     df = spark.createDataFrame(data, "k string, t int, v int")
-    got = scan.previous(df, ["k"], ["t"], F.floor(F.col("t") / 16), F.col("v"), "p")
+    got = scan.previous(df, ["k"], ["t"], F.col("v"), "p")
     exp, last = {}, {}
     for k, t, v in data:
         exp[t] = last.get(k)
         last[k] = v
     assert {r["t"]: r["p"] for r in got.collect()} == exp
-    n = scan.row_numbers(df, ["k"], ["t"], F.floor(F.col("t") / 16), "n")
+    n = scan.row_numbers(df, ["k"], ["t"], "n")
     seen, want = {}, {}
     for k, t, _ in data:
         seen[k] = want[t] = seen.get(k, 0) + 1
     assert {r["t"]: r["n"] for r in n.collect()} == want
 
 
+def test_hot_key_spreads_over_blocks(spark):
+    df = spark.range(4000).selectExpr("if(id % 40 = 0, 'small', 'hot') k", "id t")
+    sizes = {r["_blk"]: r["n"] for r in scan.by_count(df, ["k"], ["t"]).groupBy("_blk").agg(F.count("*").alias("n")).collect()}
+    assert len(sizes) == 4 and max(sizes.values()) < 2000
+    late = scan.previous(df.withColumn("k", F.when(F.col("k") == "hot", "hot")), ["k"], ["t"], F.col("t"), "p")
+    assert late.where("k IS NULL AND p IS NULL").count() == 1 and late.count() == 4000  # a null key is a key
+    assert scan.row_numbers(df.limit(0), ["k"], ["t"], "n").collect() == []
+
+
+def test_bars_of_one_column_are_many_components(spark):
+    # each bar reaches a tenth of its height into the next; every hundredth has a rival
+    b = spark.range(10000).selectExpr("1 page", "id det_id", "50 x1", "cast(id * 36 as int) y1", "54 x2", "cast(id * 36 + 40 as int) y2", "0.5d score")
+    rival = b.where("det_id % 100 = 0").selectExpr("page", "det_id + 100000", "x1 + 1", "y1 + 1", "x2 + 1", "y2 + 1", "0.9d")
+    at = (F.col("x1") - 5, F.col("x2") + 5)
+    parts, groups = folds.components(b, KEY, at, folds._inner(F.col("y1"), F.col("y2"), 0.5), ["det_id"])
+    assert parts.groupBy(*KEY, *groups).count().agg(F.max("count")).first()[0] == 1
+    got = folds.nms(b.union(rival).union(b.where("det_id < 3")), keys=KEY)
+    lost = [r["det_id"] for r in got.where("NOT kept").collect()]
+    assert sorted(lost) == sorted([*range(0, 10000, 100), 0, 1, 2])
+
+
+def test_page_without_bands_keeps_its_strokes(spark):
+    c = spark.createDataFrame([(p, 0, i, 1, y, 3, y + 40) for p in (1, 2) for i, y in enumerate((0, 200))],
+                              "score_id int, page_index int, det_id int, x1 int, y1 int, x2 int, y2 int")
+    bands = spark.createDataFrame([(1, 0, 10, 60)], "score_id int, page_index int, b1 int, b2 int")
+    assert rows(joins.staff_overlap_filter(c, bands), ["score_id", "det_id"]) == [(1, 0), (2, 0), (2, 1)]
+
+
 def test_ocr_merge_breaks_on_words(spark):
     t = [(1, 1, 0, 0, 10, 30, "1", 0.9), (1, 2, 14, 1, 24, 31, "2", 0.7), (1, 3, 30, 0, 60, 30, "Viol", 0.8),
          (1, 4, 64, 0, 74, 30, "3", 0.6), (1, 5, 200, 0, 210, 30, "4", 0.5)]
