@@ -288,9 +288,19 @@ def _(c):
     return documents.row_labels(m, lay.staff, lay.systems, page_width=1300)
 
 
-@register("numbering_documents")
+_BBOX = """concat('"bbox":[',CAST(x1 AS INT),',',CAST(y1 AS INT),',',CAST(x2 AS INT),',',CAST(y2 AS INT),']}')"""
+
+
+@register("numbering_documents", duck(f"""
+SELECT * FROM (WITH st AS (SELECT {PG},sr,string_agg(concat('{{',{_BBOX}),',' ORDER BY pos) s FROM {{o_sys}} GROUP BY ALL),
+ ms AS (SELECT {PG},sr,string_agg(concat('{{"number":',number,',',{_BBOX}),',' ORDER BY measure) m FROM {{o_num}} GROUP BY ALL),
+ one AS (SELECT st.score_id,st.page_index,st.sr,m IS NULL e,CASE WHEN m IS NULL THEN concat('{{"staves":[',s,'],"reason":"no_measures"}}') ELSE concat('{{"staves":[',s,'],"measures":[',m,']}}') END d
+  FROM st LEFT JOIN ms USING (score_id,page_index,sr)),
+ n AS (SELECT {PG},string_agg(d,',' ORDER BY sr) FILTER (WHERE NOT e) f,string_agg(d,',' ORDER BY sr) FILTER (WHERE e) e FROM one GROUP BY ALL)
+SELECT p.score_id,p.page_index,concat('{{"pages":[{{"page_number":',p.page_index+1,',"width":',width,',"height":',height,',"systems":[',coalesce(f,''),'],"empty_systems":[',coalesce(e,''),']}}]}}') AS document
+FROM {{f_page}} p LEFT JOIN n USING (score_id,page_index))""", LAY))
 def _(c):
-    """Nested numbering document per page, as JSON (nested text: checked in tests)."""
+    """Nested numbering document per page, as JSON text."""
     lay = _layout(c)
     m = numbering.number_measures(
         materialize(numbering.apply_overrides(lay.intervals, merged_overrides(c)), "measures"),
