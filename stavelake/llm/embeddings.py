@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import blocks, materialize
 from .components import components
 
 
@@ -151,16 +151,15 @@ class Graph:
         return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def audited_search(index: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None, audit: int = 256,
-                   beam: int = 16, recall: float = 0.99) -> tuple:
-    """Pairs within ``least``; the beam is doubled until the audit passes.
+def passing_beam(graph: Graph, index: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None,
+                 audit: int = 256, beam: int = 16, recall: float = 0.99) -> int:
+    """The first doubling of ``beam`` that passes the audit; the size of the index (brute force) passes always.
 
     Audit queries are spread over all and answered by brute force as well. The search must find
     ``recall`` of their pairs within ``least``, and as much of their eight nearest vectors, as
     these are harder to find and there are always some. ``own`` is each query's place in the
     index, -1 where it has none: what a query finds of itself counts nowhere in the audit.
     """
-    graph = Graph(index)
     at = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
     some = queries[at]
     mine = np.full(len(at), -1) if own is None else own[at]
@@ -178,19 +177,80 @@ def audited_search(index: np.ndarray, queries: np.ndarray, least: float, own: np
         if found >= recall * truth and near >= recall * k * len(some):
             break
         beam *= 2
-    return graph.within(queries, least, beam)
+    return beam
+
+
+def audited_search(index: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple:
+    """Pairs within ``least`` from a graph of ``index``, at the beam that passes the audit."""
+    graph = Graph(index)
+    return graph.within(queries, least, passing_beam(graph, index, queries, least, own))
+
+
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    """Vectors of one length as rows of norm 1, in double precision."""
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
 
+def stars(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning set of a link matrix (query, vector): (query, node, whether the node is a vector).
 
-def near_vectors(rows: DataFrame, least: float = 0.98, shard_rows: int = 4_096) -> DataFrame:
+    Each component of the matrix is a star around one of its queries. ``same`` says that
+    queries and vectors are the same nodes.
+    """
+    todo, out = linked.any(1), []
+    while todo.any():
+        start = int(np.argmax(todo))
+        rows, cols = np.zeros(len(linked), bool), np.zeros(linked.shape[1], bool)
+        new = np.array([start])
+        while len(new):
+            rows[new] = True
+            fresh = np.flatnonzero(linked[new].any(0) & ~cols)
+            cols[fresh] = True
+            new = fresh[~rows[fresh]] if same else np.flatnonzero(linked[:, fresh].any(1) & ~rows)
+        todo &= ~rows
+        if not same:
+            rows[start] = False
+            out.append((start, np.flatnonzero(rows), False))
+        else:
+            cols[start] = False
+        out.append((start, np.flatnonzero(cols), True))
+    sizes = [len(n) for _, n, _ in out]
+    return (np.repeat(np.array([q for q, _, _ in out], np.int64), sizes), np.concatenate([n for _, n, _ in out] or [np.zeros(0, np.int64)]),
+            np.repeat(np.array([v for _, _, v in out], bool), sizes))
+
+
+def consecutive(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Rows that follow each other with equal ``keys`` as one frame, however the batches cut them."""
+    held: list[pd.DataFrame] = []
+    name = None
+    for b in batches:
+        if not len(b):
+            continue
+        k = b[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1), len(b)]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if held and tuple(k[i]) != name:
+                yield name, pd.concat(held, ignore_index=True)
+                held = []
+            name = tuple(k[i])
+            held.append(b.iloc[i:j])
+    if held:
+        yield name, pd.concat(held, ignore_index=True)
+
+
+def near_vectors(rows: DataFrame, least: float = 0.98, shard_rows: int = 4_096, asked_by: int = 16) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors of one label are compared by cosine in double precision; the label must not be
     null. Null, empty, zero or non-finite vectors, and those with null components, link with
     nothing; vectors of other length link with none of another. Equal vectors are one class
-    with a count. The classes of a label are dealt to shards of about ``shard_rows``; each
-    shard's graph is searched with the classes of every shard of the label, one shard at a
-    time, so no task holds more than two. Repeated ids are separate rows with one id; a null id
-    is never the smallest. An empty table gives an empty result; other columns are ignored.
+    with a count. The classes of a label are dealt to shards of about ``shard_rows``. A graph
+    is built once for up to ``asked_by`` shards that ask it, which stream past it one after the other, so no
+    task holds more than two shards; of each two shards of a label one asks the other. A meeting of shards hands on counts for
+    each class and a spanning set of its links, so a dense group never becomes all its pairs. Repeated ids are separate rows with one
+    id; a null id is never the smallest. An empty table gives an empty result; other columns are ignored.
     """
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.coalesce(bad, F.lit(True))
@@ -208,37 +268,51 @@ def near_vectors(rows: DataFrame, least: float = 0.98, shard_rows: int = 4_096)
     classes = classes.join(sizes, ["label", "dim"]).withColumn("shards", F.ceil(F.col("of") / shard_rows).cast("int"))
     classes = materialize(classes.withColumn("shard", F.pmod(F.xxhash64("cid"), F.col("shards")).cast("int")), "vector-classes")
 
-    # a shard's graph is asked by its own and each earlier shard of its label, so each pair of
-    # shards meets once; both travel to one group for each pair, which bounds a task to two shards
-    index = classes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("shard"))))
-    index = index.select("label", "dim", "shard", "block", "cid", "v")
-    asks = classes.withColumn("to", F.explode(F.sequence(F.col("shard"), F.col("shards") - 1)))
-    asks = asks.select("label", "dim", F.col("to").alias("shard"), F.col("shard").alias("block"), "cid", "v")
-    schema = "a binary, b binary"
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        def unit(frame):
-            x = np.stack(frame["v"].to_numpy()).astype(np.float64) if len(frame) else np.zeros((0, 1))
-            x = x / np.abs(x).max(1, keepdims=True) if len(x) else x
-            return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
-
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        left, right = left.sort_values("cid", kind="stable"), right.sort_values("cid", kind="stable")
-        x, q = unit(left), unit(right)
-        at = np.minimum(np.searchsorted(left["cid"].to_numpy(), right["cid"].to_numpy()), len(left) - 1)
-        own = np.where(left["cid"].to_numpy()[at] == right["cid"].to_numpy(), at, -1)
-        who, what = audited_search(x.astype(np.float32), q.astype(np.float32), least - 1e-4, own)
-        exact = np.einsum("kd,kd->k", q[who], x[what]) >= least
-        a, b = right["cid"].to_numpy()[who[exact]], left["cid"].to_numpy()[what[exact]]
-        return pd.DataFrame({"a": a, "b": b})[a != b]
-
-    key = ["label", "dim", "shard", "block"]
-    pairs = materialize(index.groupBy(key).cogroup(asks.groupBy(key)).applyInPandas(search, schema), "vector-links")
-    links = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-
-    count = classes.select(F.col("cid").alias("b"), "n")
-    degree = links.join(count, "b").groupBy("a").agg(F.sum("n").alias("others"))
+    # shard i is asked by itself and the half of the ring before it, so each two shards meet once and all are
+    # asked about equally often; `turn` 0 is the shard itself, and comes again as the graph to build (-1)
+    half = F.floor(F.col("shards") / 2)
+    last = F.when((F.col("shards") % 2 == 0) & (F.col("shard") >= half), half - 1).otherwise(half).cast("int")
+    asks = classes.withColumn("turn", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), last))))
+    asks = asks.select("label", "dim", F.pmod(F.col("shard") + F.col("turn"), F.col("shards")).cast("int").alias("shard"),
+                       (F.col("turn") / asked_by).cast("int").alias("part"), "turn", "cid", "v", "n")
+    parts = F.explode(F.sequence(F.lit(0), (half / asked_by).cast("int")))
+    index = classes.select("label", "dim", "shard", parts.alias("part"), F.lit(-1).alias("turn"), "cid", "v", "n")
+    travel = sizes.agg(F.sum(F.col("of") * (2 + F.col("of") / (2 * shard_rows)))).first()[0] or 0
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, blocks(int(travel), 2 * shard_rows))
+    key = ["label", "dim", "shard", "part"]
+    meetings = index.unionByName(asks).repartition(tasks, *key).sortWithinPartitions(*key, "turn", "cid").select(*key, "turn", "cid", "v", "n")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph, beam = None, 16
+        for (*_, turn), right in consecutive(batches, [*key, "turn"]):
+            q = unit_rows(right["v"])
+            if turn < 0:
+                x, names, many = q, right["cid"].to_numpy(), right["n"].to_numpy(np.int64)
+                x32 = x.astype(np.float32)
+                graph, beam = Graph(x32), 16
+                continue
+            q32, asking, same = q.astype(np.float32), right["cid"].to_numpy(), turn == 0
+            beam = passing_beam(graph, x32, q32, least - 1e-4, np.arange(len(q)) if same else None, beam=beam)
+            who, what = graph.within(q32, least - 1e-4, beam)
+            linked = np.zeros((len(q), len(x)), bool)
+            for k in range(0, len(who), 1 << 15):
+                a, b = who[k : k + (1 << 15)], what[k : k + (1 << 15)]
+                linked[a, b] = np.einsum("kd,kd->k", q[a], x[b]) >= least
+            if same:
+                linked |= linked.T
+                np.fill_diagonal(linked, False)
+            seen_q, seen_x = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0) & (not same))
+            # sums of whole numbers, exact in double precision
+            others = np.concatenate([linked[seen_q] @ many.astype(float), right["n"].to_numpy(float) @ linked[:, seen_x]])
+            yield pd.DataFrame({"a": np.concatenate([asking[seen_q], names[seen_x]]), "b": None, "others": others.astype(np.int64)})
+            at, node, is_vector = stars(linked, same)
+            ends = np.empty(len(node), object)
+            ends[is_vector], ends[~is_vector] = names[node[is_vector]], asking[node[~is_vector]]
+            yield pd.DataFrame({"a": asking[at], "b": ends, "others": np.zeros(len(at), np.int64)})
+
+    met = materialize(meetings.mapInPandas(search, "a binary, b binary, others long"), "vector-links")
+    degree = met.filter("b IS NULL").groupBy("a").agg(F.sum("others").alias("others"))
+    pairs = met.filter("b IS NOT NULL").select("a", "b")
     roots = components(pairs)
     named = roots.join(classes.select(F.col("cid").alias("node"), "least_id"), "node")
     named = named.join(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "root")

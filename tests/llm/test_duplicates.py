@@ -155,11 +155,11 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("shard_rows", [4096, 60])
-def test_embeddings_match_brute_force(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows, asked_by", [(4096, 16), (60, 1)])
+def test_embeddings_match_brute_force(spark, shard_rows, asked_by):
     rows = vectors()
     df = spark.createDataFrame([(i, v, y, "e") for i, v, y in rows], "vec_id long, embedding array<double>, label int, n string")
-    out = embeddings.near_vectors(df, 0.98, shard_rows).collect()
+    out = embeddings.near_vectors(df, 0.98, shard_rows, asked_by).collect()
 
     def usable(v, y):
         return y is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
@@ -219,6 +219,23 @@ def test_self_hits_do_not_pass_the_audit(monkeypatch):
     assert len(truth) == 40 and truth <= set(zip(*embeddings.audited_search(x, x, 0.98, own=np.arange(1500))))
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_stars_span_the_links(same):
+    rng = np.random.default_rng(4)
+    linked = rng.random((40, 40 if same else 25)) < 0.03
+    if same:
+        linked |= linked.T
+        np.fill_diagonal(linked, False)
+    base = 0 if same else 40
+    at, node, is_vector = embeddings.stars(linked, same)
+    star = [(int(a), int(n) + base * bool(v)) for a, n, v in zip(at, node, is_vector)]
+    size = base + linked.shape[1]
+    links = [(int(a), int(b) + base) for a, b in zip(*np.nonzero(linked))]
+    want, got = roots(size, links), roots(size, star)
+    assert len(star) == size - len(set(want))
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_vectors(df).count() == 0
