@@ -55,9 +55,10 @@ class Graph:
             cand = np.broadcast_to(cand, sim.shape)
         sim = np.where(cand == rows[:, None], -2, sim)
         k = min(near.shape[1] // 3, sim.shape[1])
-        best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        few = min(3 * k, sim.shape[1])
+        best = np.argpartition(-sim, few - 1, axis=1)[:, :few]
         for r, c, s in zip(rows, np.take_along_axis(cand, best, 1), np.take_along_axis(sim, best, 1)):
-            ok = c[s > -2]
+            ok = self._diverse(r, c[s > -2], k)
             near[r, : len(ok)] = ok
             for o in ok:
                 row = near[o]
@@ -77,12 +78,13 @@ class Graph:
         cand = cand[np.argsort(-s, kind="stable")]
         s = np.sort(s)[::-1]
         among = self.v[cand] @ self.v[cand].T
-        taken: list[int] = []
+        own, beside = s.tolist(), np.full(len(cand), -2.0, np.float32)  # nearest neighbour already taken
+        taken = np.zeros(len(cand), bool)
         for k in range(len(cand)):
-            if not taken or among[k, taken].max() < s[k]:
-                taken.append(k)
-        rest = [k for k in range(len(cand)) if k not in set(taken)]
-        return cand[np.array((taken + rest)[:width])]
+            if beside[k] < own[k]:
+                taken[k] = True
+                np.maximum(beside, among[k], out=beside)
+        return cand[np.argsort(~taken, kind="stable")[:width]]
 
     def _enter(self, q: np.ndarray, above: int) -> np.ndarray:
         """The nearest node found on the levels above, for each query."""
@@ -102,8 +104,8 @@ class Graph:
         seen[np.arange(n), start] = True
         live = np.arange(n)
         while len(live):
-            # expand the best four open nodes of each query that still has some
-            pick = np.argsort(np.where(open_[live], -sim[live], 9), axis=1)[:, :4]
+            # expand the best open nodes of each query that still has some; lists come best first, so open ones keep that order
+            pick = np.argsort(~open_[live], axis=1, kind="stable")[:, : max(4, beam // 8)]
             is_open = np.take_along_axis(open_[live], pick, 1)
             live, pick, is_open = live[is_open.any(1)], pick[is_open.any(1)], is_open[is_open.any(1)]
             if not len(live):
@@ -169,13 +171,13 @@ def passing_beam(graph: Graph, index: np.ndarray, queries: np.ndarray, least: fl
     k = min(8, len(index))
     kth = np.sort(similar, axis=1)[:, -k]
     while beam < len(index):
-        who, what = graph.within(some, least, beam)
-        found = int((what != mine[who]).sum())
         ids, sim = graph._walk(0, some, graph._enter(some, 0), beam, len(index))
         other = (ids >= 0) & (graph.order[ids] != mine[:, None])
         near = np.minimum(k, (other & (sim >= kth[:, None] - 1e-6)).sum(1)).sum()
-        if found >= recall * truth and near >= recall * k * len(some):
-            break
+        if near >= recall * k * len(some):
+            who, what = graph.within(some, least, beam)
+            if (what != mine[who]).sum() >= recall * truth:
+                break
         beam *= 2
     return beam
 
