@@ -65,7 +65,7 @@ def balanced_shards(
     Law ``rows``: the shards' row counts differ by one at most; slots are gapless from 0.
     Documents link when their texts are equal. A null text has size 8, checksum 0 and no
     links; an empty text is a text. Repeated rows each get a slot; a null id is placed like
-    any other. An empty table gives an empty result. Other columns are ignored.
+    any other, and copies without one spread like copies with ids of their own. An empty table gives an empty result. Other columns are ignored.
     """
     text = F.col("text")
     base = materialize(docs.select(
@@ -73,11 +73,12 @@ def balanced_shards(
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.unhex(F.md5(text.cast("binary"))).alias("g"),
+        F.when(F.col("doc_id").isNull(), -1 - F.monotonically_increasing_id()).alias("nth"),  # rows without an id, told apart
     ), "shard-base")
     total = base.count()
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     salts = n_shards * blocks(total, n_shards * chunk_rows)
-    base = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    base = base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "nth"), F.lit(salts)).cast("int"))
     first = F.pmod(F.col("salt"), F.lit(n_shards)).cast("int")
 
     counts = base.filter(F.col("g").isNotNull()).groupBy("g", "salt").agg(F.count(F.lit(1)).alias("n"))
@@ -90,7 +91,7 @@ def balanced_shards(
     # linked documents come first, so those that a full shard gives up are single ones
     placed = materialize(placed.select(
         "doc_id", "size", "text_crc32", F.coalesce("shard", first).alias("p"), F.col("shard").isNull().alias("single"),
-        F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks(total, n_shards * block_rows))).cast("int").alias("block"),
+        F.pmod(F.xxhash64("doc_id", "nth", "text_crc32"), F.lit(blocks(total, n_shards * block_rows))).cast("int").alias("block"),
     ), "shard-placed")
     per_block = placed.groupBy("p", "single", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("p").orderBy("single", "block").rowsBetween(Window.unboundedPreceding, -1)

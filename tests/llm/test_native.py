@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from stavelake.llm import lines, mixing, sharding
 
@@ -119,3 +120,22 @@ def test_copies_are_rows(docs):
 def test_sources_without_words(spark):
     df = make_docs(spark, [(1, "", "a"), (2, None, "a"), (3, "x y z", "b")])
     assert sorted((r.doc_id, r.target, r.taken) for r in mixing.mix(df).collect()) == [(1, 0.0, 0), (2, 0.0, 0), (3, 3.0, 3)]
+
+
+def test_copies_keep_columns_of_any_name(spark):
+    df = make_docs(spark, [(1, "a b c", "a"), (None, "d e", None), (2, "f", "b")]).withColumns(
+        {c: F.lit(7) for c in ("_n", "_k", "_id", "_size", "_source", "row", "n", "d", "z")})
+    out = mixing.take_copies(df, mixing.mix(df))
+    assert out.columns == df.columns
+    assert all(r["_k"] == 7 and r["n"] == 7 for r in out.collect())
+
+
+def test_rows_without_an_id_draw_for_themselves(spark):
+    rows = [(None, "same words here", "a")] * 400 + [(None, None, "a")] * 200 + [(k, "x " * 9, "b") for k in range(90)]
+    df = make_docs(spark, rows).repartition(3)
+    out = mixing.mix(df).collect()
+    taken = sum(r.taken for r in out if r.source == "a")
+    target = next(r.target for r in out if r.source == "a")
+    assert len(out) == len(rows) and abs(taken - target) <= 3
+    shards = sharding.balanced_shards(df, 24).groupBy("shard").count().collect()
+    assert max(r["count"] for r in shards) - min(r["count"] for r in shards) <= 1
