@@ -209,6 +209,10 @@ def unresolved(evidence: DataFrame, review: DataFrame, keys: Sequence[str] = KEY
         review.select(*at).distinct(), at, "left_anti")
 
 
+#: Fixed value: the schema of evidence documents, named in each boundary's provenance.
+EVIDENCE_SCHEMA = "issue333.movement_boundary_evidence.v1"
+
+
 def resolve_boundaries(
     evidence: DataFrame,
     review: DataFrame,
@@ -237,6 +241,7 @@ def resolve_boundaries(
         F.struct(
             F.lit("movement_boundary_review").alias("kind"),
             F.struct(
+                F.lit(EVIDENCE_SCHEMA).alias("schema_version"),
                 F.lit(evidence_artifact).alias("artifact"),
                 F.lit(evidence_sha256.lower()).alias("sha256"),
                 F.when(accepted, F.col("evidence_candidate_id")).alias("candidate_id"),

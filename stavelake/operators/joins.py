@@ -394,6 +394,18 @@ def exclude_pages(
     return pages.join(excluded.select(*on).distinct(), list(on), "left_anti")
 
 
+def page_count_violations(
+    pages: DataFrame, excluded: DataFrame, expected: DataFrame, by: Sequence[str] = KEYS[:1], on: Sequence[str] = KEYS
+) -> DataFrame:
+    """Rows of ``expected`` (by, expected) whose count of pages that are left differs, with ``found``.
+
+    Pages are counted per ``by`` before the join, so it meets one row each; a group without pages has found 0.
+    """
+    left = exclude_pages(pages, excluded, on).groupBy(*by).agg(F.count(F.lit(1)).alias("found"))
+    return expected.select(*by, "expected").join(left, list(by), "left").withColumn(
+        "found", F.coalesce("found", F.lit(0).cast("bigint"))).where(~F.col("found").eqNullSafe(F.col("expected")))
+
+
 def skip_near(
     runs: DataFrame,
     existing: DataFrame,

@@ -150,6 +150,38 @@ def candidate_drops(
     return df.withColumn("reasons", F.array_compact(F.array(*checks)))
 
 
+def measure_candidates(
+    boxes: DataFrame, image: DataFrame, existing: DataFrame, paper: DataFrame, *, staff: DataFrame | None = None,
+    clef: DataFrame | None = None, ink_threshold: int = 180, keys: Sequence[str] = PAGE,
+) -> DataFrame:
+    """Distinct boxes with the columns that ``candidate_drops`` reads, measured on scan lines.
+
+    ``paper`` is the mask of the paper area; its extent is the page box, the whole image where the
+    mask is empty. A mask that is not given has NULL ratios; a box off the image has mask ratio 0 and no
+    ink ratio. ``median_h`` is that of the distinct existing boxes of the page, 0 without any.
+    """
+    ids = [*keys, *g.BOX]
+    out = boxes.select(*ids).distinct()
+    measured = rect_stats(out, image, threshold=ink_threshold, keys=keys)
+    out = out.join(measured.select(*ids, F.col("dark_ratio").alias("ink_ratio")), ids, "left")
+    for name, mask in (("paper", paper), ("staff", staff), ("clef", clef)):
+        if mask is None:
+            out = out.withColumn(f"{name}_ratio", F.lit(None).cast("double"))
+            continue
+        r = rect_stats(boxes, mask, threshold=0, keys=keys).select(*ids, F.col("nonzero_ratio").alias(f"{name}_ratio"))
+        out = out.join(r, ids, "left").withColumn(f"{name}_ratio", F.coalesce(f"{name}_ratio", F.lit(0.0)))
+    size = image.groupBy(*keys).agg(F.max(F.size("px")).alias("img_w"), (F.max("y") + 1).alias("img_h"))
+    lit = F.transform("px", lambda p: p > 0)
+    first, last = F.array_position(lit, True) - 1, F.size("px") - F.array_position(F.reverse(lit), True)
+    extent = paper.select(*keys, "y", first.alias("a"), last.alias("z")).where("a >= 0").groupBy(*keys).agg(
+        *(f(n).cast("int").alias(m) for f, n, m in ((F.min, "a", "l"), (F.min, "y", "t"), (F.max, "z", "r"), (F.max, "y", "b"))))
+    page = size.join(extent, list(keys), "left").select(
+        *keys, "img_w", "img_h", F.coalesce("l", F.lit(0)).alias("p_x1"), F.coalesce("t", F.lit(0)).alias("p_y1"),
+        F.coalesce("r", F.col("img_w") - 1).alias("p_x2"), F.coalesce("b", F.col("img_h") - 1).alias("p_y2"))
+    tall = existing.select(*ids).distinct().groupBy(*keys).agg(F.median(F.abs(F.col("y2") - F.col("y1"))).alias("median_h"))
+    return out.join(page, list(keys), "left").join(tall, list(keys), "left").withColumn("median_h", F.coalesce("median_h", F.lit(0.0)))
+
+
 def edge_and_staff_filter(
     df: DataFrame, *, margin_x: int, margin_y: int, min_overlap: float, min_h: Column, max_w: Column
 ) -> DataFrame:

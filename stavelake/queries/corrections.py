@@ -139,7 +139,7 @@ _SHA = "A" * 64
 _ONE = "SELECT score_id*16+page_index score_id,0 page_index,* EXCLUDE (score_id,page_index) FROM (%s) z"
 _CB1 = {**_CB, "rv_": _ONE % _RV, "evi_": _ONE % _EVI}
 _ROW = f"""{PG},system,1 AS reset_number,CASE WHEN kind='accepted_candidate' THEN 'reviewed_candidate' ELSE 'manual' END AS source,
- CASE WHEN kind='accepted_candidate' THEN cid END AS candidate_id,kind AS action,CASE WHEN reason<>'' THEN reason ELSE 'manual movement-boundary review' END AS reason"""
+ 'issue333.movement_boundary_evidence.v1' AS schema_version,CASE WHEN kind='accepted_candidate' THEN cid END AS candidate_id,kind AS action,CASE WHEN reason<>'' THEN reason ELSE 'manual movement-boundary review' END AS reason"""
 
 
 @register("resolved_movement_boundaries", duck(f"""
@@ -155,7 +155,7 @@ def _(c):
         evidence_sha256=_SHA).withColumn("export", F.lit(name))
     return run("preview", True).unionByName(run("final", False)).select(
         "export", *KEYS, "system", "reset_number", "source",
-        F.col("provenance.evidence.candidate_id").alias("candidate_id"),
+        F.col("provenance.evidence.schema_version").alias("schema_version"), F.col("provenance.evidence.candidate_id").alias("candidate_id"),
         F.col("provenance.review.action").alias("action"), F.col("provenance.review.reason").alias("reason"))
 
 

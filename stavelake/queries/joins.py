@@ -177,6 +177,17 @@ def _(c):
         *KEYS, "n_staves")
 
 
+# one page of each score is expected to go
+_XP = "SELECT score_id,CAST(greatest(1,max(page_index)) AS BIGINT) expected FROM {f_page} GROUP BY 1"
+
+
+@register("page_count_violations", duck(f"""
+SELECT x.score_id,x.expected,coalesce(n,0) AS found FROM {{xp_}} x LEFT JOIN (SELECT score_id,count(*) n FROM {{f_page}} a
+ WHERE NOT EXISTS (SELECT 1 FROM {{f_evidence}} b WHERE {ON} AND b.state='no_boundary') GROUP BY 1) USING (score_id) WHERE coalesce(n,0)<>expected""", {"xp_": _XP}))
+def _(c):
+    return joins.page_count_violations(c["f_page"], c["f_evidence"].where("state = 'no_boundary'"), c.sql(_XP))
+
+
 _TALL = f"""SELECT {PG},det_id,x1,y1-CASE WHEN det_id%4=0 THEN 85 ELSE 5 END y1,x2,y2+CASE WHEN det_id%8=1 THEN 190 ELSE 3 END y2 FROM {{f_barline}}"""
 
 

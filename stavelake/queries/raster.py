@@ -130,6 +130,47 @@ def _(c):
     return d.select("det_id", F.array_join("reasons", ",").alias("reasons"))
 
 
+_MEXT = f"abs(y2-y1)>=CAST(trunc({IMG_H}*0.4) AS INT) AND abs(x2-x1)>=CAST(trunc({IMG_W}*0.03) AS INT)"
+_MC = {
+    **R,
+    "mc_px": f"""SELECT b.*,coalesce(ink,0)/n ink_ratio,paper/n paper_ratio,staff/n staff_ratio,clef/n clef_ratio FROM (SELECT {BX.replace('page_id', 'b.page_id')},CAST(count(*) AS DOUBLE) n,
+ sum(CASE WHEN p<{DARK} THEN 1 ELSE 0 END) ink,sum(CASE WHEN p>100 THEN 1 ELSE 0 END) paper,sum(CASE WHEN y%5=0 AND p>110 THEN 1 ELSE 0 END) staff,sum(CASE WHEN p>160 THEN 1 ELSE 0 END) clef
+ FROM {{rd_}} b JOIN {{r_long}} l ON l.page_id=b.page_id AND l.y>=b.y1 AND l.y<b.y2 AND l.x>=b.x1 AND l.x<b.x2 GROUP BY ALL) b""",
+    "mc_page": "SELECT page_id,64 img_w,max(y)+1 img_h,min(x) FILTER (p>100) p_x1,min(y) FILTER (p>100) p_y1,max(x) FILTER (p>100) p_x2,max(y) FILTER (p>100) p_y2 FROM {r_long} GROUP BY 1",
+    "mc_tall": f"SELECT page_id,median(abs(y2-y1)) median_h FROM {{rd_}} WHERE {_MEXT} GROUP BY 1",
+    "mc_": "SELECT * EXCLUDE (n,ink,paper,staff,clef,median_h),coalesce(median_h,0) median_h FROM {mc_px} JOIN {mc_page} USING (page_id) LEFT JOIN {mc_tall} USING (page_id)",
+}
+_MRS = f"""concat_ws(',',CASE WHEN abs(x2-x1)>CAST(trunc(64*0.07) AS INT) THEN 'too_wide' END,CASE WHEN x2<=CAST(trunc(64*0.12) AS INT) THEN 'left_margin_zone' END,
+ CASE WHEN x2<=CAST(trunc(64*0.25) AS INT) AND clef_ratio>0.01 THEN 'clef_mask_overlap' END,
+ CASE WHEN CAST(trunc(median_h*0.8) AS INT)>0 AND abs(y2-y1)<CAST(trunc(median_h*0.8) AS INT) THEN 'too_short_vs_existing_median' END,
+ CASE WHEN NOT (CAST(round_even((x1+x2)/2e0,0) AS INT) BETWEEN p_x1 AND p_x2 AND CAST(round_even((y1+y2)/2e0,0) AS INT) BETWEEN p_y1 AND p_y2) THEN 'outside_page_region' END,
+ CASE WHEN paper_ratio<0.92 THEN 'low_paper_overlap' END,CASE WHEN staff_ratio<0.1 THEN 'no_staff_overlap' END,CASE WHEN ink_ratio<0.18 THEN 'low_ink_ratio' END)"""
+
+
+def measured(c):
+    paper = c.raster().withColumn("px", F.transform("px", lambda p: F.when(p > 100, 255).otherwise(0)))
+    existing = raster.minimum_size(boxes(c), F.lit(IMG_W), F.lit(IMG_H), h_ratio=0.4, w_ratio=0.03)
+    return raster.measure_candidates(boxes(c), c.raster(), existing, paper, staff=staff_mask(c), clef=head_mask(c), ink_threshold=DARK)
+
+
+@register("measured_candidates", duck(f"SELECT {BX},ink_ratio,paper_ratio,staff_ratio,clef_ratio,img_w,CAST(img_h AS INT) AS img_h,p_x1,p_y1,p_x2,p_y2,CAST(median_h AS DOUBLE) AS median_h FROM {{mc_}}", _MC))
+def _(c):
+    return measured(c)
+
+
+@register("measured_candidate_drops", duck(f"SELECT {BX},{_MRS} AS reasons FROM {{mc_}}", _MC))
+def _(c):
+    d = raster.candidate_drops(measured(c), max_width=0.07, min_height_ratio=0.8, min_paper=0.92, min_staff=0.1)
+    return d.select("page_id", *g.BOX, F.array_join("reasons", ",").alias("reasons"))
+
+
+@register("measured_edge_and_staff_filter", duck(f"""
+SELECT {BX} FROM {{mc_}} WHERE x1>=4 AND x2<=60 AND y1>=3 AND y2<=47 AND staff_ratio>=0.1 AND y2-y1>=18 AND x2-x1<=4""", _MC))
+def _(c):
+    d = raster.edge_and_staff_filter(measured(c), margin_x=4, margin_y=3, min_overlap=0.1, min_h=F.lit(18), max_w=F.lit(4))
+    return d.select("page_id", *g.BOX)
+
+
 @register("edge_and_staff_filter", duck("""
 SELECT det_id FROM {cd_} WHERE x1>=60 AND x2<=1240 AND y1>=120 AND y2<=1000 AND staff_ratio>=0.02 AND y2-y1>=30 AND x2-x1<=8""", {"cd_": _CD}))
 def _(c):
