@@ -38,6 +38,19 @@ def test_prefix_sums_and_bits(rows, page):
         assert r.on == np.flatnonzero(on).tolist() and r.new == np.flatnonzero(on & ~above).tolist()
 
 
+def test_grey_values_are_those_of_single_precision(spark, tmp_path):
+    import duckdb
+
+    from stavelake.fixtures import DUCK_RASTER, Corpus
+
+    vectors = [(i, [float(np.float32(k * 127 + i - 3200) / np.float32(12700)) for k in range(64)]) for i in range(50)] + [(50, [-0.094488225877285] * 64)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.page_id, r.y, list(r.px)) for r in Corpus(spark, str(tmp_path)).raster().collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.execute(DUCK_RASTER).fetchall()) and got[-1] == (1, 0, [115] * 64)
+
+
 def test_rectangles_on_prefix_sums(spark, rows, page):
     rng = np.random.default_rng(5)
     boxes = [(0, int(a), int(b), int(a + c), int(b + d)) for a, b, c, d in zip(rng.integers(-5, W, 60), rng.integers(-5, H, 60), rng.integers(-3, 40, 60), rng.integers(-3, 40, 60))]
