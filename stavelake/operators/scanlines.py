@@ -92,3 +92,62 @@ def set_columns(words: Column) -> Column:
     each = F.transform(words, lambda w, i: F.transform(
         F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(w, b) == 1), lambda b: i * 64 + b))
     return F.flatten(each)
+
+
+#: Scan lines in a block. A box meets a block once, whatever it covers of it.
+BLOCK = 64
+#: What a pixel adds to a table of sums: count, grey, squares, dark (missing pixels are not), non-zero.
+PIXEL = {"n": lambda v, k, t: np.ones_like(v), "s": lambda v, k, t: v, "q": lambda v, k, t: v * v,
+         "d": lambda v, k, t: (v < t) & k, "z": lambda v, k, t: v > 0}
+
+
+def block_tables(layers: dict[str, DataFrame], tables: dict[str, tuple[str, str, int]], keys: Sequence[str] = PAGE) -> DataFrame:
+    """One row per block of scan lines: its lines ``_h``, their width ``_w`` and an array for each of ``tables``.
+
+    A table is named by its layer, its kind and a threshold. Entry (r, x) stands at r * (_w + 1) + x:
+
+    * ``n s q d z``: sum over the lines before r and the columns before x, so any box takes four entries
+    * ``line_n line_d``: sum over the columns before x of line r
+    * ``enters``: set pixels of column x, not set on the line above, in the lines before r
+    * ``stays``: whether column x is set on line r and on the line above
+    """
+    at = F.floor(F.col("y") / BLOCK).cast("int")
+    lines = None
+    for name, rows in layers.items():
+        # the last line of a block is also the line above the next
+        part = rows.select(*keys, F.lit(name).alias("layer"), F.col("y").cast("int").alias("y"), F.col("px").cast("array<bigint>").alias("px"),
+                           F.explode(F.when(F.pmod("y", F.lit(BLOCK)) == BLOCK - 1, F.array(at, at + 1)).otherwise(F.array(at))).alias("_blk"))
+        lines = part if lines is None else lines.unionByName(part)
+    ids = [*keys, "_blk"]
+    out = T.StructType([*lines.select(*ids).schema.fields, *T.StructType.fromDDL(
+        "_h int, _w int, " + ", ".join(f"{k} array<bigint>" for k in tables)).fields])
+
+    def build(t: pa.Table) -> pa.Table:
+        b = t.combine_chunks().to_batches()[0]
+        flat, n = lists_of(b)
+        known = pc.is_valid(b.column("px").flatten()).to_numpy(zero_copy_only=False)
+        y = b.column("y").to_numpy() - b.column("_blk")[0].as_py() * BLOCK
+        layer = b.column("layer").to_numpy(zero_copy_only=False)
+        h, w = int(y.max()) + 1, int(n.max())
+        row, x = np.repeat(y, n) + 1, np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        made = []
+        for name, kind, threshold in tables.values():
+            on = np.repeat(layer == name, n)
+            grid = np.zeros((h + 1, w), np.int64)
+            each = PIXEL["z" if kind in ("enters", "stays") else kind[-1]]
+            np.add.at(grid, (row[on], x[on]), each(flat[on], known[on], threshold).astype(np.int64))
+            if kind in PIXEL:
+                table = np.zeros((h + 1, w + 1), np.int64)
+                table[1:, 1:] = grid[1:].cumsum(0).cumsum(1)
+            elif kind == "enters":
+                table = np.zeros((h + 1, w + 1), np.int64)
+                table[1:, :w] = ((grid[1:] > 0) & (grid[:-1] == 0)).cumsum(0)
+            else:
+                table = np.zeros((h, w + 1), np.int64)
+                table[:, 1:] = grid[1:].cumsum(1)
+                if kind == "stays":
+                    table[:, :w], table[:, w] = (grid[1:] > 0) & (grid[:-1] > 0), 0
+            made.append(as_lists(table.ravel(), np.array([table.size])))
+        return pa.Table.from_arrays([*(b.column(k).slice(0, 1) for k in ids), pa.array([h], pa.int32()), pa.array([w], pa.int32()), *made], names=out.names)
+
+    return lines.groupBy(*ids).applyInArrow(build, out)

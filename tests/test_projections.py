@@ -65,6 +65,23 @@ def test_rectangles_on_prefix_sums(spark, rows, page):
     assert not got
 
 
+def test_a_box_meets_a_block_once(spark, rows, page):
+    boxes = [(0, 10, 3, 14, 88), (0, 39, 60, 43, 70), (0, 95, 63, 99, 64), (0, 148, 40, 160, 120), (0, 7, 5, 7, 5), (3, 1, 1, 5, 9)]
+    df = spark.createDataFrame(boxes * 2, "page_id int, x1 int, y1 int, x2 int, y2 int")
+    assert sorted((r.x1, r["_blk"]) for r in raster.box_pieces(df).collect() if r.page_id == 0 and r.x1 != 7) == [(10, 0), (10, 1), (39, 0), (39, 1), (95, 0), (148, 0), (148, 1)]
+    mask = rows.withColumn("px", F.transform("px", lambda p: (p < 100).cast("int")))
+    crossings = {tuple(r)[:5]: r.crossings for r in raster.staff_crossings(df, mask).collect()}
+    trimmed = {tuple(r)[:5]: (r.t_y1, r.t_y2) for r in raster.trim_boxes(df, rows, threshold=40, min_ratio=0.6).collect()}
+    assert set(crossings) == set(trimmed) == set(boxes)
+    for at in boxes:
+        _, x1, y1, x2, y2 = at
+        v = page[y1:y2, x1:x2] if at[0] == 0 else np.zeros((0, 0))
+        column = [bool(k) for k in page[y1:y2, (x1 + x2) // 2] < 100] if v.size and (x1 + x2) // 2 < W else []
+        assert crossings[at] == sum(k and not (i and column[i - 1]) for i, k in enumerate(column))
+        ink = [y1 + i for i, line in enumerate(v) if v.size and (line < 40).mean() >= 0.6]
+        assert trimmed[at] == ((ink[0], ink[-1] + 1) if ink else (y1, y2))
+
+
 def test_profiles_equal_a_convolution(spark, rows, page, monkeypatch):
     monkeypatch.setattr(pr, "LINES_AT_ONCE", 7)
     ink = page < 100
