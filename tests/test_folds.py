@@ -205,3 +205,15 @@ def test_ocr_merge_breaks_on_words(spark):
     got = folds.merge_ocr_tokens(df, ["crop"]).orderBy("x1").collect()
     assert [(r["text"], r["n_merged"]) for r in got] == [("12", 2), ("Viol", 1), ("3", 1), ("4", 1)]
     assert got[0]["confidence"] == pytest.approx(0.8)
+
+
+def test_strokes_of_one_id_count_their_staves_together(spark):
+    from stavelake.operators import joins
+
+    boxes = spark.createDataFrame(
+        [(0, 0, 7, 10, 100, 12, 140), (0, 0, 7, 30, 100, 32, 140), (0, 0, 7, 50, 400, 52, 440), (0, 0, 8, 70, 100, 72, 140)],
+        "score_id int, page_index int, det_id long, x1 int, y1 int, x2 int, y2 int")
+    staff = spark.createDataFrame([(0, 0, 0, 100, 140, 10.0)], "score_id int, page_index int, pos int, y1 int, y2 int, unit_size double")
+    got = sorted((r.det_id, r.x1, r.staff) for r in joins.staff_strokes(boxes, staff, box_id="det_id").collect())
+    assert got == [(7, 10, 0), (7, 30, 0), (8, 70, -1)]
+    assert {r.staff for r in joins.staff_strokes(boxes, staff).collect()} == {-1}
