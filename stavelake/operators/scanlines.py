@@ -110,6 +110,7 @@ def block_tables(layers: dict[str, DataFrame], tables: dict[str, tuple[str, str,
     * ``line_n line_d``: sum over the columns before x of line r
     * ``enters``: set pixels of column x, not set on the line above, in the lines before r
     * ``stays``: whether column x is set on line r and on the line above
+    * ``words``: column x alone as 64 bits, line 0 the lowest; entry x
     """
     at = F.floor(F.col("y") / BLOCK).cast("int")
     lines = None
@@ -134,7 +135,7 @@ def block_tables(layers: dict[str, DataFrame], tables: dict[str, tuple[str, str,
         for name, kind, threshold in tables.values():
             on = np.repeat(layer == name, n)
             grid = np.zeros((h + 1, w), np.int64)
-            each = PIXEL["z" if kind in ("enters", "stays") else kind[-1]]
+            each = PIXEL["z" if kind in ("enters", "stays", "words") else kind[-1]]
             np.add.at(grid, (row[on], x[on]), each(flat[on], known[on], threshold).astype(np.int64))
             if kind in PIXEL:
                 table = np.zeros((h + 1, w + 1), np.int64)
@@ -142,6 +143,10 @@ def block_tables(layers: dict[str, DataFrame], tables: dict[str, tuple[str, str,
             elif kind == "enters":
                 table = np.zeros((h + 1, w + 1), np.int64)
                 table[1:, :w] = ((grid[1:] > 0) & (grid[:-1] == 0)).cumsum(0)
+            elif kind == "words":
+                bits = np.zeros((w, BLOCK), bool)
+                bits[:, :h] = grid[1:].T > 0
+                table = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
             else:
                 table = np.zeros((h, w + 1), np.int64)
                 table[:, 1:] = grid[1:].cumsum(1)
@@ -151,3 +156,30 @@ def block_tables(layers: dict[str, DataFrame], tables: dict[str, tuple[str, str,
         return pa.Table.from_arrays([*(b.column(k).slice(0, 1) for k in ids), pa.array([h], pa.int32()), pa.array([w], pa.int32()), *made], names=out.names)
 
     return lines.groupBy(*ids).applyInArrow(build, out)
+
+
+def long_runs(columns: DataFrame, ids: Sequence[str], out: str) -> DataFrame:
+    """Set bits in runs of at least ``need``: ``words`` holds each column's ``n`` words on end, column after column."""
+    schema = T.StructType([*columns.select(*ids).schema.fields, T.StructField(out, T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("words")
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = lists.flatten().to_numpy(zero_copy_only=False).astype("<i8")
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+            first = place % np.repeat(b.column("n").to_numpy(), size) == 0
+            # an unset bit before each column keeps its runs from those of the one before
+            at = BLOCK * np.arange(len(words)) + np.cumsum(first)
+            bits = np.zeros(BLOCK * len(words) + int(first.sum()) + 1, np.int8)
+            bits[at[:, None] + np.arange(BLOCK)] = np.unpackbits(words.view(np.uint8), bitorder="little").reshape(-1, BLOCK)
+            step = np.diff(bits, prepend=0)
+            start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            owner = row[np.searchsorted(at, start, side="right") - 1] if len(words) else row
+            long = end - start >= b.column("need").to_numpy()[owner]
+            total = np.zeros(len(size), np.int64)
+            np.add.at(total, owner[long], (end - start)[long])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ids), pa.array(total)], names=schema.names)
+
+    return columns.select(*ids, "n", "need", "words").mapInArrow(count, schema)

@@ -82,6 +82,23 @@ def test_a_box_meets_a_block_once(spark, rows, page):
         assert trimmed[at] == ((ink[0], ink[-1] + 1) if ink else (y1, y2))
 
 
+def test_vertical_runs_go_on_from_block_to_block(spark, rows, page):
+    boxes = [(0, 38, 3, 43, 88), (0, 95, 50, 99, 80), (0, 10, 60, 30, 68), (0, 140, 40, 160, 120)]
+    mask = rows.withColumn("px", F.transform("px", lambda p: (p < 100).cast("int")))
+    df = spark.createDataFrame(boxes, "page_id int, x1 int, y1 int, x2 int, y2 int")
+    assert raster.box_pieces(df).count() == 8
+    got = {tuple(r)[:5]: r.open_pixels for r in raster.vertical_open(df, mask, open_ratio=0.3).collect()}
+    for at in boxes:
+        _, x1, y1, x2, y2 = at
+        need, found = min(y2 - y1, max(3, int((y2 - y1) * 0.3))), 0
+        for column in (page[y1:y2, x1:x2] < 100).T:
+            run = 0
+            for k in [*column, False]:
+                found, run = (found, run + 1) if k else (found + run * (run >= need), 0)
+        assert got[at] == found
+    assert got[boxes[0]] >= 2 * 85
+
+
 def test_profiles_equal_a_convolution(spark, rows, page, monkeypatch):
     monkeypatch.setattr(pr, "LINES_AT_ONCE", 7)
     ink = page < 100
