@@ -141,15 +141,15 @@ def _(c):
 @register("streamed_current_overrides", duck("""
 SELECT score_id,page_index,system,measure,max(ord) AS ord,arg_max(op,ord) AS op,arg_max(skip,ord) AS skip FROM {f_override} GROUP BY ALL"""))
 def _(c):
-    """The correction log folded to its current table by an idempotent batch sink."""
+    """The correction log folded to its current table by an idempotent batch sink; of rows equal in ``ord`` the first stays."""
     import uuid
 
     from ..session import shared_dir
     from ..streaming import progress as st
 
     root = f"{shared_dir(c.spark, 'streams')}/overrides-{uuid.uuid4().hex}"
-    log = c["f_override"].select("score_id", "page_index", "system", "measure", "ord", "op", "skip")
+    log = c["f_override"].select("score_id", "page_index", "system", "measure", "ord", "op", "skip").withColumn("place", F.monotonically_increasing_id())
     log.write.parquet(f"{root}/in")
-    table = st.OverrideTable(f"{root}/table", ["score_id", "page_index", "system", "measure"])
+    table = st.OverrideTable(f"{root}/table", ["score_id", "page_index", "system", "measure"], place="place")
     st.run_available(c.spark.readStream.schema(log.schema).parquet(f"{root}/in"), table.write, f"{root}/checkpoint")
-    return table.current(c.spark)
+    return table.current(c.spark).drop("place")

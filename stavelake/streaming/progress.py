@@ -200,15 +200,18 @@ class OverrideTable:
 
     Every micro-batch is reduced to its last row per key and written under its batch id; a
     replayed batch overwrites itself, so the fold is exactly-once without read-modify-write.
+    Of rows equal in ``order`` the one of the least ``place`` stays, if that column of the log is named.
     """
 
-    def __init__(self, path: str, ids: list[str], order: str = "ord"):
-        self.path, self.ids, self.order = path, ids, order
+    def __init__(self, path: str, ids: list[str], order: str = "ord", place: str | None = None):
+        self.path, self.ids, self.order, self.place = path, ids, order, place
 
     def reduce(self, df: DataFrame) -> DataFrame:
         rest = [c for c in df.columns if c not in self.ids]
-        return df.groupBy(*self.ids).agg(
-            F.max_by(F.struct(*rest), self.order).alias("_r")).select(*self.ids, "_r.*")
+        # rows without an order are no rows of the fold, whatever their place
+        last = F.col(self.order) if self.place is None else F.when(
+            F.col(self.order).isNotNull(), F.struct(F.col(self.order), -F.col(self.place)))
+        return df.groupBy(*self.ids).agg(F.max_by(F.struct(*rest), last).alias("_r")).select(*self.ids, "_r.*")
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         self.reduce(batch).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")

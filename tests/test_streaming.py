@@ -127,3 +127,21 @@ def test_quarantine(spark):
     ok, bad = st.quarantine(e)
     assert ok.count() == 1
     assert sorted(r["violation"] for r in bad.collect()) == ["bad_sequence", "unknown_kind"]
+
+
+def test_first_of_equal_orders_stays(spark, tmp_path):
+    """Two corrections of one measure equal in ``ord``: the one that stands first in the log, as in the SQL's arg_max."""
+    import duckdb
+
+    from stavelake.queries import ORACLES, QUERIES, load_all
+
+    load_all()
+    con, path = duckdb.connect(), f"{tmp_path}/lineitem.parquet"
+    # parts 4 and 4 + 4 * 99991 share a system, and their ids share a remainder
+    con.sql(f"""COPY (SELECT CAST(8 AS BIGINT) l_orderkey, CAST(p AS BIGINT) l_partkey, CAST(3 AS BIGINT) l_suppkey, CAST(1 AS INT) l_linenumber,
+     CAST(7 AS DOUBLE) l_quantity, f l_returnflag, 'O' l_linestatus FROM (VALUES (4, 'A'), (4 + 4 * 99991, 'R')) t(p, f)) TO '{path}' (FORMAT parquet)""")
+    con.sql("SET threads = 1")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
+    want = con.sql(ORACLES["streamed_current_overrides"]).fetchall()
+    got = [tuple(r) for r in QUERIES["streamed_current_overrides"](spark, str(tmp_path)).collect()]
+    assert len(want) == 1 and want[0][5] == "auto" and got == want
