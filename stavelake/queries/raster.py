@@ -147,10 +147,10 @@ _MRS = f"""concat_ws(',',CASE WHEN abs(x2-x1)>CAST(trunc(64*0.07) AS INT) THEN '
  CASE WHEN paper_ratio<0.92 THEN 'low_paper_overlap' END,CASE WHEN staff_ratio<0.1 THEN 'no_staff_overlap' END,CASE WHEN ink_ratio<0.18 THEN 'low_ink_ratio' END)"""
 
 
-def measured(c):
+def measured(c, apart=True):
     paper = c.raster().withColumn("px", F.transform("px", lambda p: F.when(p > 100, 255).otherwise(0)))
     existing = raster.minimum_size(boxes(c), F.lit(IMG_W), F.lit(IMG_H), h_ratio=0.4, w_ratio=0.03)
-    return raster.measure_candidates(boxes(c), c.raster(), existing, paper, staff=staff_mask(c), clef=head_mask(c), ink_threshold=DARK)
+    return raster.measure_candidates(boxes(c), c.raster(), existing, paper, staff=staff_mask(c), clef=head_mask(c), ink_threshold=DARK, apart=apart)
 
 
 @register("measured_candidates", duck(f"SELECT {BX},ink_ratio,paper_ratio,staff_ratio,clef_ratio,img_w,CAST(img_h AS INT) AS img_h,p_x1,p_y1,p_x2,p_y2,CAST(median_h AS DOUBLE) AS median_h FROM {{mc_}}", _MC))
@@ -167,7 +167,7 @@ def _(c):
 @register("measured_edge_and_staff_filter", duck(f"""
 SELECT {BX} FROM {{mc_}} WHERE x1>=4 AND x2<=60 AND y1>=3 AND y2<=47 AND staff_ratio>=0.1 AND y2-y1>=18 AND x2-x1<=4""", _MC))
 def _(c):
-    d = raster.edge_and_staff_filter(measured(c), margin_x=4, margin_y=3, min_overlap=0.1, min_h=F.lit(18), max_w=F.lit(4))
+    d = raster.edge_and_staff_filter(measured(c, apart=False), margin_x=4, margin_y=3, min_overlap=0.1, min_h=F.lit(18), max_w=F.lit(4))
     return d.select("page_id", *g.BOX)
 
 
