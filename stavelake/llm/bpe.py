@@ -7,6 +7,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -204,16 +205,25 @@ class Encoder:
             # each character is lowered on its own: a final sigma is no special case
             normal = unicodedata.normalize("NFC", piece)
             normal = "σ".join(p.lower() for p in normal.split("Σ")) if "Σ" in normal else normal.lower()
-            for word in self.word.findall(normal):
-                ids = cache.get(word)
-                if ids is None:
+            words = self.word.findall(normal)
+            runs = list(map(cache.get, words))
+            start = 0
+            if None in runs:
+                for k, word in enumerate(words):
+                    if runs[k] is not None:
+                        continue
                     if len(word) > 256:
+                        yield list(chain.from_iterable(runs[start:k]))
                         yield self._word(word)
+                        start = k + 1
                         continue
-                    if len(cache) > CACHE:
-                        cache.clear()
-                    ids = cache[word] = list(self._word(word))
-                yield ids
+                    ids = cache.get(word)  # the piece may hold it twice
+                    if ids is None:
+                        if len(cache) > CACHE:
+                            cache.clear()
+                        ids = cache[word] = list(self._word(word))
+                    runs[k] = ids
+            yield list(chain.from_iterable(runs[start:]))
 
     def encode(self, text: str) -> Iterator[list[int] | Iterator[int]]:
         """Runs of ids; a special string in the text is its own id."""
@@ -250,6 +260,12 @@ class Decoder:
         body = token[: -len(self.suffix)] if ends else token
         return self.utf8.decode(bytes(self.bytes[c] for c in body), ends) + " " * ends
 
+    def feed_all(self, ids: list[int]) -> str:
+        if not self.joined or not ids:
+            return "".join(map(self.feed, ids))
+        lead, self.first = "" if self.first else " ", False
+        return lead + " ".join(map(self.text.__getitem__, ids))
+
     def close(self) -> str:
         return "" if self.joined else self.utf8.decode(b"", True)
 
@@ -270,7 +286,7 @@ def _digests(enc: Encoder, text: str, with_ids: bool, block: int = 1 << 14) -> t
         ids_sha.update(raw)
         if with_ids:
             out.append(raw)
-        text_sha.update("".join(map(decoder.feed, buf)).encode())
+        text_sha.update(decoder.feed_all(buf).encode())
         buf.clear()
 
     for run in enc.encode(text):
