@@ -134,6 +134,26 @@ class Transducer:
                 next_check = len(recent) + self.keep
         yield from self._path(last, size, len(recent))
 
+    def short(self, symbols: list[str]) -> list[str]:
+        """What ``run`` gives for symbols fewer than its first check, whose positions are all kept."""
+        m = self.m
+        width, tokens, fits, known = m.width, m.tokens, m.fits, m._fits
+        last, size = [""], [0]
+        for n in range(1, len(symbols) + 1):
+            text = ""
+            for k in range(1, min(width, n) + 1):
+                text = symbols[n - k] + text
+                if text in tokens:
+                    pair = (last[n - k], text)
+                    fit = known.get(pair)
+                    if fit or (fit is None and fits(*pair)):
+                        break
+            else:
+                raise ValueError(f"no token ends with {symbols[n - 1]!r}")
+            last.append(text)
+            size.append(k)
+        return self._path(last, size, len(symbols))
+
     @staticmethod
     def _path(last: list[str], size: list[int], at: int) -> list[str]:
         out = []
@@ -173,8 +193,8 @@ class Encoder:
         self.cache: dict[str, list[int]] = {}
 
     def forget(self) -> None:
+        """Words go with their task; which tokens fit is the merge list's and stays, within ``CACHE``."""
         self.cache.clear()
-        self.m._fits.clear()
 
     def _symbols(self, word: str) -> Iterator[str]:
         held = None
@@ -221,7 +241,11 @@ class Encoder:
                     if ids is None:
                         if len(cache) > CACHE:
                             cache.clear()
-                        ids = cache[word] = list(self._word(word))
+                        symbols = list(map(self.chars.__getitem__, word.encode("utf-8")))
+                        symbols[-1] += self.m.suffix
+                        # so few symbols are kept whole, as the stream keeps them
+                        made = self.transducer.short(symbols) if len(symbols) < self.transducer.keep else self.transducer.run(symbols)
+                        ids = cache[word] = [self.m.ids[t] for t in made]
                     runs[k] = ids
             yield list(chain.from_iterable(runs[start:]))
 

@@ -22,3 +22,15 @@ def test_words_of_a_piece_are_one_run():
         for joined in (True, False):
             one, all_ = bpe.Decoder(enc, joined), bpe.Decoder(enc, joined)
             assert "".join(map(one.feed, again)) + one.close() == all_.feed_all(again[:2]) + all_.feed_all([]) + all_.feed_all(again[2:]) + all_.close()
+
+
+def test_short_words_are_those_of_the_stream_and_fits_outlive_a_task():
+    import public_tokenizers
+
+    enc = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for word in ("a", "cat", "unheardofword", "straße", "ab1c" * 20):
+        symbols = list(enc._symbols(word))
+        assert enc.transducer.short(symbols) == list(enc.transducer.run(symbols))
+    list(enc.encode("the cat"))
+    enc.forget()
+    assert not enc.cache and enc.m._fits
