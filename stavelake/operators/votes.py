@@ -21,7 +21,6 @@ RESCUE_PROB = 0.1
 RESCUE_SCORE = 60
 VETO_PROB_MAX = 0.60
 VETO_MIN_EVIDENCE = 2
-ONE_BAR_CONFIDENCE = 0.80
 JITTER_SCORE = 5.0
 
 
@@ -45,46 +44,29 @@ def best_number(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).select(*keys, "r.value", "r.score")
 
 
-def one_bar_evidence(candidates: DataFrame, crop: Sequence[str], measure: Sequence[str], view: str) -> DataFrame:
-    """Confident printed "1"s: summed over staves per view, then the maximum over views.
-
-    A raw "1" inside a merged token that reads two or more is part of that number.
-    """
-    inner = candidates.where("source = 'raw' AND value = 1")
-    outer = candidates.where("source = 'merged' AND value >= 2").select(
-        *crop, *(F.col(n).alias(f"o_{n}") for n in g.BOX)).distinct()
-    cond = F.lit(True)
-    for k in crop:
-        cond = cond & (inner[k] == outer[k])
-    cond = cond & (
-        (outer["o_x1"] <= inner["x1"]) & (outer["o_y1"] <= inner["y1"])
-        & (inner["x2"] <= outer["o_x2"]) & (inner["y2"] <= outer["o_y2"]))
-    ones = inner.join(outer, cond, "left_anti").unionByName(
-        candidates.where("source = 'merged' AND value = 1"))
-    per_view = ones.where(F.col("confidence") >= ONE_BAR_CONFIDENCE).groupBy(*measure, view).agg(
-        F.count("*").alias("n"))
+def one_bar_evidence(readings: DataFrame, measure: Sequence[str], view: str) -> DataFrame:
+    """Confident printed "1"s of crops: summed over staves per view, then the maximum over views."""
+    per_view = readings.where("ones > 0").groupBy(*measure, view).agg(F.sum("ones").alias("n"))
     return per_view.groupBy(*measure).agg(F.max("n").alias("evidence"))
 
 
-def _tally(results: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+def _tally(results: DataFrame, keys: Sequence[str], order: str, *more: Column) -> DataFrame:
     """Per distinct value: votes, best score (first on ties) and first occurrence."""
     return results.groupBy(*keys, "value").agg(
         F.count("*").alias("n"), F.max("score").alias("best"), F.min(order).alias("first"),
-        F.min_by(order, F.struct(-F.col("score"), F.col(order))).alias("best_at"),
+        F.min_by(order, F.struct(-F.col("score"), F.col(order))).alias("best_at"), *more,
     )
 
 
 def unique_leader(results: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Value with strictly most votes among numbers ≥ 2; NULL and score 0 on a tie."""
-    t = _tally(results.where("value >= 2"), keys, order)
-    top = t.groupBy(*keys).agg(
-        F.max("n").alias("m"), F.collect_list(F.struct("n", "value", "best")).alias("a"))
-    lead = F.filter("a", lambda v: v["n"] == F.col("m"))
-    one = F.size(lead) == 1
-    out = results.select(*keys).distinct().join(top, list(keys), "left")
-    return out.select(
-        *keys, F.when(one, F.get(lead, 0)["value"]).alias("value"),
-        F.when(one, F.get(lead, 0)["best"]).otherwise(F.lit(0.0)).alias("score"))
+    real = lambda c: F.when(F.col("value") >= 2, c)
+    top = _tally(results, keys, order).groupBy(*keys).agg(
+        F.max(real(F.struct("n", "value", "best"))).alias("high"), F.max(real(F.struct("n", (-F.col("value")).alias("v")))).alias("low"))
+    one = F.col("high.value") == -F.col("low.v")  # of values with equal votes, the largest is the smallest
+    return top.select(
+        *keys, F.when(one, F.col("high.value")).alias("value"),
+        F.when(one, F.col("high.best")).otherwise(F.lit(0.0)).alias("score"))
 
 
 def staff_value(results: DataFrame, keys: Sequence[str], order: str = "staff") -> DataFrame:
@@ -94,27 +76,22 @@ def staff_value(results: DataFrame, keys: Sequence[str], order: str = "staff") -
     narrow measures if any – and by first occurrence otherwise.  ``results`` carries
     ``prob`` and ``width``.
     """
-    t = _tally(results.where("value IS NOT NULL"), keys, order)
-    ctx = results.groupBy(*keys).agg(F.max("prob").alias("prob"), F.max("width").alias("width"))
+    t = _tally(results, keys, order, F.max("prob").alias("prob"), F.max("width").alias("width"))
+    t = t.withColumn("result", F.struct("value", "best"))
+    real = lambda *c: F.when(F.col("value").isNotNull(), F.struct(-F.col("n"), *c))
+    score = (-F.col("best"), "best_at", "value")
+    # one value each: of those with most votes the first, the best-scored, the best-scored up to 20 if any
     a = t.groupBy(*keys).agg(
-        F.max("n").alias("m"),
-        F.collect_list(F.struct("n", "value", "best", "first", "best_at")).alias("a"),
-    ).join(ctx, list(keys))
-    lead = F.filter("a", lambda v: v["n"] == F.col("m"))
-    a = a.select(*keys, "prob", "width", lead.alias("lead"))
-    small = F.filter("lead", lambda v: v["value"] <= 20)
-    pool = F.when((F.col("width") < 100) & (F.size(small) > 0), small).otherwise(F.col("lead"))
-    by_score = F.get(F.array_sort(F.transform(pool, lambda v: F.struct(
-        (-v["best"]).alias("s"), v["best_at"].alias("o"), v["value"].alias("value"), v["best"].alias("best")))), 0)
-    by_first = F.get(F.array_sort(F.transform("lead", lambda v: F.struct(
-        v["first"].alias("s"), v["value"].alias("value"), v["best"].alias("best")))), 0)
-    tied = F.size("lead") > 1
-    high = tied & (F.col("prob") > PROB)
-    return a.select(
-        *keys,
-        F.when(high, by_score["value"]).otherwise(by_first["value"]).alias("value"),
-        F.when(high, by_score["best"]).otherwise(by_first["best"]).alias("score"),
-        tied.alias("tied"), "width")
+        F.min_by("result", real("first", "value")).alias("by_first"),
+        F.min_by("result", real(*score)).alias("by_score"),
+        F.min_by("result", real(F.col("value") > 20, *score)).alias("by_small"),
+        F.min(real("value")).alias("low"), F.min(real((-F.col("value")).alias("v"))).alias("high"),
+        F.max("prob").alias("prob"), F.max("width").alias("width"),
+    ).where("low IS NOT NULL")
+    tied = F.col("low.value") != -F.col("high.v")
+    best = F.when(F.col("width") < 100, F.col("by_small")).otherwise(F.col("by_score"))
+    won = F.when(tied & (F.col("prob") > PROB), best).otherwise(F.col("by_first"))
+    return a.select(*keys, won["value"].alias("value"), won["best"].alias("score"), tied.alias("tied"), "width")
 
 
 def variant_value(results: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -124,15 +101,15 @@ def variant_value(results: DataFrame, keys: Sequence[str], order: str) -> DataFr
     Variants reading more than 20 in a narrow measure are ignored; the conflict flag of an
     ignored variant still counts.
     """
-    conflict = results.groupBy(*keys).agg(F.bool_or("tied").alias("conflict"))
-    ok = results.where(~((F.col("value") > 20) & (F.col("width") < 100)))
-    t = _tally(ok, keys, order)
-    best = F.struct(-F.col("best"), F.col("best_at"))
+    ok = F.coalesce(~((F.col("value") > 20) & (F.col("width") < 100)), F.lit(False))
+    t = _tally(results.withColumn("ok", ok), [*keys, "ok"], order, F.bool_or("tied").alias("tied"))
+    if_ok = lambda c: F.when(F.col("ok"), c)
     a = t.groupBy(*keys).agg(
-        F.sum("n").alias("total"),
-        F.min_by(F.struct("value", "best"), best).alias("top"),
-        F.min_by(F.struct("n", "value", "best"), F.struct(-F.col("n"), F.col("first"))).alias("maj"),
-    ).join(conflict, list(keys))
+        F.sum(if_ok(F.col("n"))).alias("total"),
+        F.min_by(F.struct("value", "best"), if_ok(F.struct(-F.col("best"), F.col("best_at")))).alias("top"),
+        F.min_by(F.struct("n", "value", "best"), if_ok(F.struct(-F.col("n"), F.col("first")))).alias("maj"),
+        F.bool_or("tied").alias("conflict"),
+    ).where("total IS NOT NULL")
     use = F.col("conflict") & (F.col("maj.n") >= 2) & (F.col("maj.n") > F.col("total") / 2)
     return a.select(
         *keys, F.when(use, F.col("maj.value")).otherwise(F.col("top.value")).alias("value"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..fixtures import duck
 from ..functions.text import LABEL_WORDS
 from ..operators import votes
+from ..operators.readings import crop_readings
 from ..session import materialize
 from . import register
 from .folds import CROP, OCR, OCR_MERGE
@@ -54,18 +55,22 @@ def candidates(c):
     return votes.number_candidates(t, CROP, "w", "h")
 
 
-def crop_best(c, cand=None):
-    b = votes.best_number(cand if cand is not None else candidates(c), CROP)
+def crops(c):
+    return crop_readings(c.sql(OCR), CROP, 90 + F.col("score_id") % 3 * 30, F.lit(100))
+
+
+def crop_best(c, read=None):
+    b = (read if read is not None else crops(c)).where("value IS NOT NULL").drop("ones")
     b = b.join(c["f_measure_prob"], M)
     return b.withColumn("width", (90 + F.col("score_id") % 3 * 30).cast("int"))
 
 
-def per_view(c, cand=None):
-    return votes.staff_value(crop_best(c, cand), [*M, "view_name"])
+def per_view(c, read=None):
+    return votes.staff_value(crop_best(c, read), [*M, "view_name"])
 
 
-def per_measure(c, cand=None):
-    v = per_view(c, cand).withColumn("vo", F.when(F.col("view_name") == "standard", 0).when(
+def per_measure(c, read=None):
+    v = per_view(c, read).withColumn("vo", F.when(F.col("view_name") == "standard", 0).when(
         F.col("view_name") == "no_dilate", 1).otherwise(2))
     return votes.variant_value(v, M, "vo")
 
@@ -94,7 +99,7 @@ def _(c):
 
 @register("one_bar_evidence", duck(f"SELECT {MK},evidence FROM {{v_evid}}", V))
 def _(c):
-    return votes.one_bar_evidence(materialize(candidates(c), "candidates"), CROP, M, "view_name")
+    return votes.one_bar_evidence(crops(c), M, "view_name")
 
 
 _DEC = """CASE WHEN prob>0.1 AND val<>0 THEN CASE WHEN prob>0.5 AND prob<0.6 AND sc<0 AND coalesce(evidence,0)>=2 THEN 'one_bar_veto' WHEN prob>0.5 THEN 'found' WHEN sc>60 THEN 'rescue' END END"""
@@ -104,9 +109,9 @@ _DEC = """CASE WHEN prob>0.1 AND val<>0 THEN CASE WHEN prob>0.5 AND prob<0.6 AND
 SELECT {MK},{_DEC} AS status,CAST(CASE WHEN {_DEC} IN ('found','rescue') THEN val-1 END AS INT) AS skip
 FROM {{f_measure_prob}} p LEFT JOIN {{v_var}} v USING ({MK}) LEFT JOIN {{v_evid}} e USING ({MK})""", V))
 def _(c):
-    cand = materialize(candidates(c), "candidates")
-    j = c["f_measure_prob"].join(per_measure(c, cand), M, "left").join(
-        votes.one_bar_evidence(cand, CROP, M, "view_name"), M, "left")
+    read = materialize(crops(c), "readings")
+    j = c["f_measure_prob"].join(per_measure(c, read), M, "left").join(
+        votes.one_bar_evidence(read, M, "view_name"), M, "left")
     d = votes.decision(F.col("value"), F.col("prob"), F.col("score"), F.col("evidence"))
     return j.select(*M, d.alias("status"), F.when(d.isin("found", "rescue"), F.col("value") - 1).alias("skip"))
 
